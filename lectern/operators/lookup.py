@@ -269,21 +269,28 @@ def sibling_chapter(
     )
 
 
-def book_name(lang: str) -> Column:
-    """Display name from the dimension; Chinese falls back to English."""
-    en = F.col("en")
-    return F.coalesce(F.nullif(F.col("cn"), F.lit("")), en) if lang == "cn" else en
+def book_name(lang: str | Column) -> Column:
+    """Display name from the dimension; Chinese falls back to English.
+
+    ``lang`` is a language code or a column of codes.
+    """
+    code = F.lit(lang) if isinstance(lang, str) else lang
+    cn = F.when(code == "cn", F.nullif(F.col("cn"), F.lit("")))
+    return F.coalesce(cn, F.col("en"))
+
+
+def _name_of(rows: DataFrame, books: DataFrame, lang: str | Column) -> DataFrame:
+    names = books.select(F.col("idx").alias("book_idx"), "en", "cn")
+    return rows.join(names, "book_idx").withColumn("_name", book_name(lang)).drop("en", "cn")
 
 
-def label_rows(rows: DataFrame, books: DataFrame, lang: str = "en") -> DataFrame:
+def label_rows(rows: DataFrame, books: DataFrame, lang: str | Column = "en") -> DataFrame:
     """Add ``label``: "Book chapter:verse"."""
-    names = books.select(F.col("idx").alias("book_idx"), book_name(lang).alias("_name"))
     label = F.concat("_name", F.lit(" "), "chapter", F.lit(":"), "verse")
-    return rows.join(names, "book_idx").withColumn("label", label).drop("_name")
+    return _name_of(rows, books, lang).withColumn("label", label).drop("_name")
 
 
-def chapter_title(rows: DataFrame, books: DataFrame, lang: str = "en") -> DataFrame:
+def chapter_title(rows: DataFrame, books: DataFrame, lang: str | Column = "en") -> DataFrame:
     """Add ``title``: "Book chapter"."""
-    names = books.select(F.col("idx").alias("book_idx"), book_name(lang).alias("_name"))
     title = F.concat("_name", F.lit(" "), "chapter")
-    return rows.join(names, "book_idx").withColumn("title", title).drop("_name")
+    return _name_of(rows, books, lang).withColumn("title", title).drop("_name")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..staging import stage
+
 # Rows of one key above which the key is spread over several tasks.
 ROWS_PER_SALT = 1_000_000
 # Upper bound on the number of keys that are spread; see heavy_keys.
@@ -48,23 +50,23 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which the left rows of a heavy key are spread over several tasks.
 
-    Left rows of a heavy key get a salt from a hash of ``spread_by``; the matching right
-    rows are repeated once per salt. Other keys get the single salt 0, so they pay only one
-    more integer in the join key. The heavy list is bounded (see heavy_keys), which makes
-    its broadcast safe.
+    The key counts are looked at first. Without a heavy key this is a plain join, which
+    Spark may then broadcast on known sizes. Otherwise left rows of a heavy key get a salt
+    from a hash of ``spread_by``, and the matching right rows are repeated once per salt;
+    other keys keep the single salt 0. The heavy list is bounded (see heavy_keys), which
+    makes its broadcast safe.
     """
     on = list(on)
     if counts is None:
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     heavy = heavy_keys(counts, on, rows_per_salt=rows_per_salt)
+    if heavy.isEmpty():
+        return left.join(right, on, how)
+    heavy = F.broadcast(stage(heavy))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("n_salt")), F.lit(0)).cast("int")
     salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - 1))
-    left_salted = (
-        left.join(F.broadcast(heavy), on, "left").withColumn("_salt", salt).drop("n_salt")
-    )
-    right_salted = (
-        right.join(F.broadcast(heavy), on, "left").withColumn("_salt", salts).drop("n_salt")
-    )
+    left_salted = left.join(heavy, on, "left").withColumn("_salt", salt).drop("n_salt")
+    right_salted = right.join(heavy, on, "left").withColumn("_salt", salts).drop("n_salt")
     return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
 
 
@@ -95,15 +97,14 @@ def rank_in_group(
 
     part = [*group, *([first] if first else []), "_block"]
     cut = rows.withColumn("_block", F.floor(F.col(order) / block))
-    inner = cut.withColumn(
-        "_n", F.row_number().over(W.partitionBy(*part).orderBy(order))
-    )
+    inner = cut.withColumn("_n", F.row_number().over(W.partitionBy(*part).orderBy(order)))
+    # The counts come from the numbered rows, so both branches share one shuffle.
     before = W.partitionBy(*group).orderBy(*head, F.col("_block")).rowsBetween(
         W.unboundedPreceding, -1
     )
     offsets = (
-        cut.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("_count"))
+        inner.groupBy(*part)
+        .agg(F.max("_n").alias("_count"))
         .withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
         .drop("_count")
     )
