@@ -265,7 +265,8 @@ def sibling_chapter(
         .select("book_idx", "chapter", "sibling_row")
     )
     return salted_join(
-        chapters, steps, ["book_idx", "chapter"], chapters.columns, "left", counts, rows_per_salt
+        chapters, steps, ["book_idx", "chapter"], chapters.columns, "left", counts,
+        rows_per_salt=rows_per_salt,
     )
 
 

@@ -8,6 +8,7 @@ checked on the candidates' text. Common parts never go through a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +27,14 @@ from .postings import (
     character_postings,
     expand_vocab,
 )
-from .skew import RANK_BLOCK, ROWS_PER_SALT, rank_in_group, salted_join
+from .skew import (
+    RANK_BLOCK,
+    ROWS_PER_SALT,
+    WINDOW_LIMIT,
+    key_counts,
+    rank_in_group,
+    salted_join,
+)
 
 # Fixed values of the search box.
 DEFAULT_LIMIT = 300
@@ -204,12 +212,10 @@ def rank_phrase_first(
     return rank_in_group(hits, group, "row_idx", "is_exact", limit, block)
 
 
-def _asked(queries: DataFrame, query_id: str) -> tuple[DataFrame, DataFrame]:
-    """Queries with their term, and the distinct terms with the number of queries of each."""
-    asked = queries.select(query_id, term_of("term", "lang").alias("term"))
-    counts = (
-        asked.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    )
+def _asked(queries: DataFrame, query_id: str, keep: Sequence[str] = ()) -> tuple:
+    """Queries with their term key, and the distinct terms with their number of queries."""
+    asked = queries.select(query_id, *keep, term_of("term", "lang").alias("_term"))
+    counts = key_counts(asked.where("_term is not null"), ["_term"])
     return asked, stage(counts)
 
 
@@ -218,19 +224,34 @@ def search(
     queries: DataFrame,
     limit: int | None = DEFAULT_LIMIT,
     query_id: str = "query_id",
+    keep: Sequence[str] = (),
     block: int = RANK_BLOCK,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Ranked hits ``(query_id, rank, row_idx, is_exact)`` of ``(query_id, term, lang)`` queries.
 
-    ``limit`` cuts each query's rows; None keeps all. Totals come from search_totals.
+    ``limit`` cuts each query's rows; None keeps all. ``keep`` names query columns to carry
+    along. Totals come from search_totals.
     """
-    asked, counts = _asked(queries, query_id)
-    ranked = rank_phrase_first(search_terms(corpus, counts.select("term")), ["term"], limit, block)
+    asked, counts = _asked(queries, query_id, keep)
+    hits = search_terms(corpus, counts.select(F.col("_term").alias("term")))
+    hits = hits.withColumnRenamed("term", "_term")
+    right_counts = None
+    if limit is None or limit > WINDOW_LIMIT:
+        # A term may then hold a large part of the corpus: its hits are spread as well.
+        hits = stage(hits)
+        right_counts = key_counts(hits, ["_term"])
+    ranked = rank_phrase_first(hits, ["_term"], limit, block)
     return salted_join(
-        asked.where("term is not null"), ranked, ["term"], [query_id], counts=counts,
+        asked.where("_term is not null"),
+        ranked,
+        ["_term"],
+        [query_id],
+        counts=counts,
+        right_counts=right_counts,
+        right_spread_by=["row_idx"],
         rows_per_salt=rows_per_salt,
-    ).select(query_id, "rank", "row_idx", "is_exact")
+    ).select(query_id, *keep, "rank", "row_idx", "is_exact")
 
 
 def search_totals(
@@ -244,13 +265,13 @@ def search_totals(
     Hits are counted per term before they meet the queries, so this stays small.
     """
     asked, counts = _asked(queries, query_id)
-    hits = search_terms(corpus, counts.select("term"))
-    totals = hits.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    hits = search_terms(corpus, counts.select(F.col("_term").alias("term")))
+    totals = hits.groupBy(F.col("term").alias("_term")).agg(F.count(F.lit(1)).alias("total"))
     found = salted_join(
-        asked.where("term is not null"), totals, ["term"], [query_id], "left", counts,
-        rows_per_salt,
+        asked.where("_term is not null"), totals, ["_term"], [query_id], "left", counts,
+        rows_per_salt=rows_per_salt,
     ).select(query_id, F.coalesce("total", F.lit(0)).alias("total"))
-    empty = asked.where("term is null").select(query_id, F.lit(0).cast("long").alias("total"))
+    empty = asked.where("_term is null").select(query_id, F.lit(0).cast("long").alias("total"))
     return found.unionByName(empty)
 
 

@@ -14,6 +14,8 @@ from ..staging import stage
 ROWS_PER_SALT = 1_000_000
 # Upper bound on the number of keys that are spread; see heavy_keys.
 MAX_HEAVY = 1_000
+# Largest limit for which Spark cuts a ranking window before its shuffle.
+WINDOW_LIMIT = 1_000
 # Width of the sort-key ranges a large group is cut into for ranking.
 RANK_BLOCK = 1_000_000
 
@@ -39,6 +41,11 @@ def heavy_keys(
     )
 
 
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key; combined map-side, so a hot key costs one row per task."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -46,28 +53,54 @@ def salted_join(
     spread_by: Sequence[str],
     how: str = "inner",
     counts: DataFrame | None = None,
+    right_counts: DataFrame | None = None,
+    right_spread_by: Sequence[str] = (),
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Equi-join in which the left rows of a heavy key are spread over several tasks.
+    """Equi-join in which the rows of a heavy key are spread over several tasks.
 
     The key counts are looked at first. Without a heavy key this is a plain join, which
     Spark may then broadcast on known sizes. Otherwise left rows of a heavy key get a salt
     from a hash of ``spread_by``, and the matching right rows are repeated once per salt;
-    other keys keep the single salt 0. The heavy list is bounded (see heavy_keys), which
-    makes its broadcast safe.
+    other keys keep the single salt 0. Where the right side may be heavy too, its counts
+    are given and it is spread in the same way against the left. The heavy lists are
+    bounded (see heavy_keys), which makes their broadcast safe.
     """
+    if right_counts is not None and how != "inner":
+        raise ValueError("only an inner join may spread its right side")
     on = list(on)
-    if counts is None:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    heavy = heavy_keys(counts, on, rows_per_salt=rows_per_salt)
+    heavy = heavy_keys(
+        key_counts(left, on) if counts is None else counts, on, rows_per_salt=rows_per_salt
+    ).withColumnRenamed("n_salt", "_nl")
+    if right_counts is None:
+        heavy = heavy.withColumn("_nr", F.lit(1))
+    else:
+        other = heavy_keys(right_counts, on, rows_per_salt=rows_per_salt)
+        heavy = heavy.join(other.withColumnRenamed("n_salt", "_nr"), on, "full")
     if heavy.isEmpty():
         return left.join(right, on, how)
     heavy = F.broadcast(stage(heavy))
-    salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("n_salt")), F.lit(0)).cast("int")
-    salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - 1))
-    left_salted = left.join(heavy, on, "left").withColumn("_salt", salt).drop("n_salt")
-    right_salted = right.join(heavy, on, "left").withColumn("_salt", salts).drop("n_salt")
-    return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
+
+    def salt(columns: Sequence[str], n: str) -> Column:
+        own = F.pmod(F.xxhash64(*columns), F.col(n))
+        return F.coalesce(own, F.lit(0)).cast("int") if columns else F.lit(0)
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+
+    left_salted = (
+        left.join(heavy, on, "left")
+        .withColumn("_l", salt(spread_by, "_nl"))
+        .withColumn("_r", every("_nr"))
+    )
+    right_salted = (
+        right.join(heavy, on, "left")
+        .withColumn("_r", salt(right_spread_by, "_nr"))
+        .withColumn("_l", every("_nl"))
+    )
+    extra = ["_nl", "_nr"]
+    joined = left_salted.drop(*extra).join(right_salted.drop(*extra), [*on, "_l", "_r"], how)
+    return joined.drop("_l", "_r")
 
 
 def rank_in_group(
@@ -81,7 +114,8 @@ def rank_in_group(
 ) -> DataFrame:
     """Number the rows of each group 1.. by (``first`` true before false, ``order``).
 
-    ``order`` is a non-negative integer, unique in its group. With a small limit one window
+    ``order`` is a non-negative integer, unique in its group. Without a small limit the rows
+    are read twice, so pass a written table (see staging.stage). With a small limit one window
     is enough: Spark keeps only the first ``limit`` rows per group and task before the
     shuffle. Without one, a group may hold a large part of the table, so it is cut into
     ranges of ``order``: rows are numbered inside each range, and the ranges' counts are
@@ -91,7 +125,7 @@ def rank_in_group(
         raise ValueError("limit must be None or >= 0")
     group = list(group)
     head = [F.desc(first)] if first else []
-    if limit is not None and limit <= 1000:
+    if limit is not None and limit <= WINDOW_LIMIT:
         w = W.partitionBy(*group).orderBy(*head, F.col(order))
         return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
