@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..staging import stage
 from .skew import ROWS_PER_SALT, salted_join
 
 ADDRESS = ["book_idx", "chapter", "verse"]
@@ -166,12 +167,13 @@ def chapter_context(
 
 def first_rows(addresses: DataFrame, books: DataFrame) -> DataFrame:
     """First existing row of every chapter, among verses 0 to the dimension's count."""
-    return (
-        with_chapter_end(addresses, books)
-        .where("verse between 0 and _hi")
+    first = (
+        addresses.where("verse >= 0")
         .groupBy("book_idx", "chapter")
-        .agg(F.min_by("row_idx", "verse").alias("sibling_row"))
+        .agg(F.min_by("row_idx", "verse").alias("sibling_row"), F.min("verse").alias("_first"))
     )
+    # Joined to the dimension by chapter, after the rows are combined, so a huge book is small.
+    return with_chapter_end(first, books).where("_first <= _hi").drop("_first", "_hi")
 
 
 def adjacent_books(books: DataFrame, direction: int, block: int = BOOK_BLOCK) -> DataFrame:
@@ -255,6 +257,7 @@ def sibling_chapter(
         F.col("book_idx").alias("_b"), F.col("chapter").alias("_c"), "sibling_row"
     )
     # Chapters, not the rows asking, go through the joins; the answers are spread at the end.
+    chapters = stage(chapters)
     counts = chapters.groupBy("book_idx", "chapter").agg(F.count(F.lit(1)).alias("n"))
     steps = (
         counts.select("book_idx", "chapter")

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from ..functions.grams import ngrams, tokens
 from ..functions.text import present
 from ..staging import stage
-from .skew import ROWS_PER_SALT, heavy_threshold
+from .skew import ROWS_PER_SALT, heavy_threshold, salted_join
 
 # Longest gram the vocabulary is indexed by; shorter query tokens use their own length.
 GRAM = 3
+# Words up to this length have their grams cut out position by position.
+USUAL_WORD = 64
+# Number of query tokens up to which the gram index is not shuffled for them.
+FEW_TOKENS = 100_000
 
 
 def token_postings(passages: DataFrame, text: str = "text_en", key: str = "row_idx") -> DataFrame:
@@ -43,42 +47,82 @@ def vocabulary(postings: DataFrame) -> DataFrame:
 
 
 def vocabulary_grams(vocab: DataFrame) -> DataFrame:
-    """Every 1- to 3-gram of each vocabulary word in ``gram``, with the word's columns."""
+    """Every 1- to 3-gram of each vocabulary word in ``gram``, with the word's columns.
+
+    Words of usual length stay in compiled code: every position gives its grams, and a gram
+    is kept at its first place in the word only. That is quadratic in the length, so the few
+    very long words go through array functions instead.
+    """
     tok = F.col("tok")
-    grams = F.concat(*[ngrams(tok, n) for n in range(1, GRAM + 1)])
-    return vocab.select(F.explode(grams).alias("gram"), *vocab.columns)
+    usual = (
+        vocab.where(F.length(tok) <= USUAL_WORD)
+        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(tok))))
+        .withColumn("_n", F.explode(F.array(*[F.lit(n) for n in range(1, GRAM + 1)])))
+        .where(F.col("_at") + F.col("_n") - 1 <= F.length(tok))
+        .withColumn("gram", F.substring(tok, F.col("_at"), F.col("_n")))
+        .where(F.instr(tok, F.col("gram")) == F.col("_at"))
+        .select("gram", *vocab.columns)
+    )
+    arrays = F.concat(*[ngrams(tok, n) for n in range(1, GRAM + 1)])
+    long = vocab.where(F.length(tok) > USUAL_WORD).select(
+        F.explode(arrays).alias("gram"), *vocab.columns
+    )
+    return usual.unionByName(long)
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
-    """Words per gram. Grams are up to three of 36 characters: at most 47,988 rows."""
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_words"))
+    """Words and postings per gram: ``(gram, n_words, n_rows)``.
 
+    Grams are up to three of 36 characters, so this has at most 47,988 rows.
+    """
+    return grams.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n_words"), F.sum("df").alias("n_rows")
+    )
 
-def expand_vocab(query_tokens: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """Vocabulary words that contain each query token: ``qtok`` and the word's columns.
 
-    Instead of comparing every token with every word, a token is looked up by its rarest
-    gram: the token itself up to three characters, otherwise the trigram that fewest words
-    have. The words found are then checked for the whole token. ``query_tokens`` has the
-    distinct tokens in ``qtok``.
+def rarest_grams(query_tokens: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(qtok, gram, cost)``: the gram to look a token up by.
+
+    Up to three characters the token is its own gram, otherwise it is the trigram with the
+    fewest postings. ``cost`` bounds the postings of the words holding the token, and is
+    exact for short tokens; 0 means that no word holds it.
     """
     q = F.col("qtok")
     own = F.when(F.length(q) <= GRAM, F.array(q)).otherwise(ngrams(q, GRAM))
-    rarest = (
-        query_tokens.select("qtok", F.explode(own).alias("gram"))
-        .join(counts, "gram")
-        .groupBy("qtok")
-        .agg(F.min_by("gram", F.struct("n_words", "gram")).alias("gram"))
+    found = query_tokens.select("qtok", F.explode(own).alias("gram")).join(counts, "gram", "left")
+    cost = F.coalesce("n_rows", F.lit(0))
+    return found.groupBy("qtok").agg(
+        F.min_by("gram", F.struct(cost, F.col("gram"))).alias("gram"), F.min(cost).alias("cost")
     )
-    # The tokens' grams are few against the index: written out, their size is known and
-    # decides between a broadcast and a shuffle of the index.
-    return (
-        grams.join(stage(rarest), "gram")
-        .where(F.contains("tok", "qtok"))
-        .select("qtok", *[c for c in grams.columns if c != "gram"])
+
+
+def words_holding(asked: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """Words that contain each token of ``(qtok, gram)``, found by the gram, then checked.
+
+    Few tokens are broadcast against the index: written out, their size is known. For many
+    the index is shuffled by gram, and the grams that most words have are salted.
+    """
+    asked = stage(asked)
+    if asked.count() <= FEW_TOKENS:
+        found = grams.join(asked, "gram")
+    else:
+        n = counts.select("gram", F.col("n_words").alias("n"))
+        found = salted_join(grams, asked, ["gram"], ["tok"], counts=n)
+    return found.where(F.contains("tok", "qtok")).select(
+        "qtok", *[c for c in grams.columns if c != "gram"]
     )
 
 
+def expand_vocab(query_tokens: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """Vocabulary words that contain each query token: ``qtok`` and the word's columns.
+
+    Instead of comparing every token with every word, a token is looked up by its rarest
+    gram. ``query_tokens`` has the distinct tokens in ``qtok``.
+    """
+    asked = rarest_grams(query_tokens, counts).where("cost > 0").select("qtok", "gram")
+    return words_holding(asked, grams, counts)
+
+
 def spread_postings(postings: DataFrame, vocab: DataFrame, key: str = "row_idx") -> DataFrame:
     """Add ``salt`` to postings: words with very many rows are spread over several salts.
 
@@ -110,7 +154,7 @@ class TokenIndex:
     postings: DataFrame  # tok, salt, row_idx
     vocab: DataFrame  # tok, df, n_salt
     grams: DataFrame  # gram, tok, df, n_salt
-    counts: DataFrame  # gram, n_words
+    counts: DataFrame  # gram, n_words, n_rows
 
 
 @dataclass(frozen=True)

@@ -25,7 +25,8 @@ from .postings import (
     build_bigram_index,
     build_token_index,
     character_postings,
-    expand_vocab,
+    rarest_grams,
+    words_holding,
 )
 from .skew import (
     RANK_BLOCK,
@@ -68,18 +69,22 @@ def _single(term: str = "term") -> Column:
 def english_drivers(terms: DataFrame, index: TokenIndex) -> DataFrame:
     """``(term, tok, n_salt)``: the words to read postings of, for English terms.
 
-    Of a term's tokens the one whose containing words have the fewest postings drives.
+    Of a term's tokens the one with the fewest postings, as bounded by the gram counts,
+    drives; the vocabulary is searched for the driving tokens only.
     """
     parts = terms.select("term", F.posexplode(_parts()).alias("pos", "qtok"))
-    words = stage(expand_vocab(parts.select("qtok").distinct(), index.grams, index.counts))
-    cost = words.groupBy("qtok").agg(F.sum("df").alias("cost"))
+    cost = rarest_grams(parts.select("qtok").distinct(), index.counts)
+    order = F.struct("cost", "pos")
     # A token no word contains costs 0: it drives its term, which then has no hits.
-    driver = (
-        parts.join(cost, "qtok", "left")
+    driver = stage(
+        parts.join(cost, "qtok")
         .groupBy("term")
-        .agg(
-            F.min_by("qtok", F.struct(F.coalesce("cost", F.lit(0)), F.col("pos"))).alias("qtok")
-        )
+        .agg(F.min_by(F.struct("qtok", "gram", "cost"), order).alias("d"))
+        .where("d.cost > 0")
+        .select("term", "d.qtok", "d.gram")
+    )
+    words = words_holding(
+        driver.select("qtok", "gram").distinct(), index.grams, index.counts
     )
     return driver.join(words, "qtok").select("term", "tok", "n_salt")
 
@@ -151,7 +156,9 @@ def search_segments(
     lone = F.forall(_parts(), lambda p: F.length(p) < 2)
     by_bigram = candidates(segment_drivers(terms.where(~lone), index), index.postings)
     asked = stage(terms.where(lone).select("term", F.get(_parts(), F.lit(0)).alias("tok")))
-    by_char = character_postings(passages, text).join(asked, "tok").select("term", "row_idx")
+    by_char = stage(
+        character_postings(passages, text).join(asked, "tok").select("term", "row_idx")
+    )
     phrase = F.replace(_phrase(), F.lit(" "), F.lit(""))
     return verify(by_bigram.unionByName(by_char), passages, present(text), phrase)
 

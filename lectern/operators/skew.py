@@ -59,8 +59,9 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join in which the rows of a heavy key are spread over several tasks.
 
-    The key counts are looked at first. Without a heavy key this is a plain join, which
-    Spark may then broadcast on known sizes. Otherwise left rows of a heavy key get a salt
+    The key counts are looked at first; where they are not given, the left side is written
+    out, as it is then read twice. Without a heavy key this is a plain join, and with the
+    left side's size known Spark broadcasts it or not on facts. Otherwise left rows of a heavy key get a salt
     from a hash of ``spread_by``, and the matching right rows are repeated once per salt;
     other keys keep the single salt 0. Where the right side may be heavy too, its counts
     are given and it is spread in the same way against the left. The heavy lists are
@@ -69,9 +70,10 @@ def salted_join(
     if right_counts is not None and how != "inner":
         raise ValueError("only an inner join may spread its right side")
     on = list(on)
-    heavy = heavy_keys(
-        key_counts(left, on) if counts is None else counts, on, rows_per_salt=rows_per_salt
-    ).withColumnRenamed("n_salt", "_nl")
+    if counts is None:
+        left = stage(left)
+        counts = key_counts(left, on)
+    heavy = heavy_keys(counts, on, rows_per_salt=rows_per_salt).withColumnRenamed("n_salt", "_nl")
     if right_counts is None:
         heavy = heavy.withColumn("_nr", F.lit(1))
     else:

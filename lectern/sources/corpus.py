@@ -70,6 +70,25 @@ def write_passages(passages: DataFrame, path: str, mode: str = "errorifexists")
     passages.repartitionByRange(*key).sortWithinPartitions(*key).write.mode(mode).parquet(path)
 
 
+def save_passages_table(
+    passages: DataFrame, table: str, path: str, buckets: int, mode: str = "errorifexists"
+) -> DataFrame:
+    """Write passages as a table bucketed and sorted by ``row_idx`` and return it.
+
+    Searches and views join text to rows by ``row_idx``. Over this table only the rows asked
+    for are shuffled; the text stays where it is. ``row_idx`` is unique, so buckets are even.
+    """
+    (
+        passages.repartition(buckets, "row_idx")
+        .write.mode(mode)
+        .bucketBy(buckets, "row_idx")
+        .sortBy("row_idx")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return passages.sparkSession.table(table)
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     """Read the book dimension; ``book_pos`` keeps the order of the file."""
     return (

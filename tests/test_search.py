@@ -1,5 +1,6 @@
 import random
 import re
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ from lectern.operators.search import (
     page_of,
     search,
     search_totals,
+    verify,
 )
-from lectern.sources.corpus import PASSAGES
+from lectern.operators.skew import salted_join
+from lectern.sources.corpus import PASSAGES, save_passages_table
 
 
 def scan(rows, term, lang):
@@ -223,3 +226,30 @@ def test_case_mapping_follows_the_text(spark):
     asked = spark.createDataFrame([(1, "İ", "en"), (2, "strasse", "en"), (3, "stra", "en")], "query_id int, term string, lang string")
     got = ranked(search(Corpus(df, tokens=build_token_index(df)), asked))
     assert got == {1: [(1, 1, False)], 2: [(1, 2, False)], 3: [(1, 2, False)]}
+
+
+def test_many_tokens_shuffle_the_gram_index(crowd, monkeypatch):
+    rows, df, asked = crowd
+    monkeypatch.setattr("lectern.operators.postings.FEW_TOKENS", 0)
+    monkeypatch.setattr("lectern.operators.postings.salted_join", partial(salted_join, rows_per_salt=5))
+    english = asked.where("lang = 'en'")
+    got = ranked(search(index_corpus(df, ("en",)), english, 7))
+    assert got == expected(rows, english, 7)
+
+
+def test_bucketed_text_is_not_shuffled(spark, crowd, tmp_path):
+    rows, df, asked = crowd
+    table = save_passages_table(df, "crowd_passages", str(tmp_path / "table"), 4)
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        pairs = spark.createDataFrame([("en:the spirit", 3)], "term string, row_idx long")
+        checked = verify(pairs, table, F.lower("text_en"), F.lit("the spirit"))
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert ranked(search(index_corpus(table), asked, 7)) == expected(rows, asked, 7)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.sql("DROP TABLE IF EXISTS crowd_passages")
