@@ -46,10 +46,10 @@ def bigram_postings(spark, sf_dir):
 @query
 def expand_vocab(spark, sf_dir):
     """Words of the documents that contain a word of the benchmark."""
-    vocab = vocabulary(spark, sf_dir)
+    vocab = stage(vocabulary(spark, sf_dir))
     items = inputs.table(spark, sf_dir, "benchmark").selectExpr("item_id as row_idx", "text")
     asked = postings.token_postings(items, "text").select(F.col("tok").alias("qtok")).distinct()
-    grams = postings.vocabulary_grams(vocab)
+    grams = stage(postings.vocabulary_grams(vocab))
     return postings.expand_vocab(asked, grams, postings.gram_counts(grams)).select(
         "qtok", "tok", "df"
     )

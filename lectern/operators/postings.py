@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grams import ngrams, tokens
@@ -18,6 +18,12 @@ GRAM = 3
 USUAL_WORD = 64
 # Number of query tokens up to which the gram index is not shuffled for them.
 FEW_TOKENS = 100_000
+# Hash parts of a stored index; a search reads the parts its terms fall into.
+INDEX_PARTS = 64
+
+
+def part_of(term: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
 def token_postings(passages: DataFrame, text: str = "text_en", key: str = "row_idx") -> DataFrame:
@@ -46,8 +52,8 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return postings.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
 
 
-def vocabulary_grams(vocab: DataFrame) -> DataFrame:
-    """Every 1- to 3-gram of each vocabulary word in ``gram``, with the word's columns.
+def vocabulary_grams(vocab: DataFrame, parts: int = INDEX_PARTS) -> DataFrame:
+    """Every 1- to 3-gram of each vocabulary word: ``gram, gram_part``, the word's columns.
 
     Words of usual length stay in compiled code: every position gives its grams, and a gram
     is kept at its first place in the word only. That is quadratic in the length, so the few
@@ -67,21 +73,21 @@ def vocabulary_grams(vocab: DataFrame) -> DataFrame:
     long = vocab.where(F.length(tok) > USUAL_WORD).select(
         F.explode(arrays).alias("gram"), *vocab.columns
     )
-    return usual.unionByName(long)
+    return usual.unionByName(long).withColumn("gram_part", part_of("gram", parts))
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
-    """Words and postings per gram: ``(gram, n_words, n_rows)``.
+    """Words and postings per gram: ``(gram, gram_part, n_words, n_rows)``.
 
     Grams are up to three of 36 characters, so this has at most 47,988 rows.
     """
-    return grams.groupBy("gram").agg(
+    return grams.groupBy("gram", "gram_part").agg(
         F.count(F.lit(1)).alias("n_words"), F.sum("df").alias("n_rows")
     )
 
 
 def rarest_grams(query_tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(qtok, gram, cost)``: the gram to look a token up by.
+    """``(qtok, gram, gram_part, cost)``: the gram to look a token up by.
 
     Up to three characters the token is its own gram, otherwise it is the trigram with the
     fewest postings. ``cost`` bounds the postings of the words holding the token, and is
@@ -90,26 +96,28 @@ def rarest_grams(query_tokens: DataFrame, counts: DataFrame) -> DataFrame:
     q = F.col("qtok")
     own = F.when(F.length(q) <= GRAM, F.array(q)).otherwise(ngrams(q, GRAM))
     found = query_tokens.select("qtok", F.explode(own).alias("gram")).join(counts, "gram", "left")
-    cost = F.coalesce("n_rows", F.lit(0))
-    return found.groupBy("qtok").agg(
-        F.min_by("gram", F.struct(cost, F.col("gram"))).alias("gram"), F.min(cost).alias("cost")
-    )
+    cost = F.coalesce("n_rows", F.lit(0)).alias("cost")
+    best = F.min(F.struct(cost, "gram", "gram_part")).alias("m")
+    return found.groupBy("qtok").agg(best).select("qtok", "m.gram", "m.gram_part", "m.cost")
 
 
 def words_holding(asked: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """Words that contain each token of ``(qtok, gram)``, found by the gram, then checked.
+    """Words that contain each token of ``(qtok, gram, gram_part)``, found by the gram.
 
-    Few tokens are broadcast against the index: written out, their size is known. For many
-    the index is shuffled by gram, and the grams that most words have are salted.
+    Few tokens are broadcast against the index: written out, their size is known, and of a
+    stored index only the parts they fall into are read (the filter, true for every row,
+    makes Spark consider that pruning). For many tokens the index is shuffled by gram, and
+    the grams that most words have are salted.
     """
     asked = stage(asked)
+    key = ["gram_part", "gram"]
     if asked.count() <= FEW_TOKENS:
-        found = grams.join(asked, "gram")
+        found = grams.join(asked.where("gram_part >= 0"), key)
     else:
-        n = counts.select("gram", F.col("n_words").alias("n"))
-        found = salted_join(grams, asked, ["gram"], ["tok"], counts=n)
+        n = counts.select(*key, F.col("n_words").alias("n"))
+        found = salted_join(grams, asked, key, ["tok"], counts=n)
     return found.where(F.contains("tok", "qtok")).select(
-        "qtok", *[c for c in grams.columns if c != "gram"]
+        "qtok", *[c for c in grams.columns if c not in key]
     )
 
 
@@ -119,31 +127,33 @@ def expand_vocab(query_tokens: DataFrame, grams: DataFrame, counts: DataFrame) -
     Instead of comparing every token with every word, a token is looked up by its rarest
     gram. ``query_tokens`` has the distinct tokens in ``qtok``.
     """
-    asked = rarest_grams(query_tokens, counts).where("cost > 0").select("qtok", "gram")
+    asked = rarest_grams(query_tokens, counts).where("cost > 0").drop("cost")
     return words_holding(asked, grams, counts)
 
 
-def spread_postings(postings: DataFrame, vocab: DataFrame, key: str = "row_idx") -> DataFrame:
-    """Add ``salt`` to postings: words with very many rows are spread over several salts.
+def place_terms(
+    vocab: DataFrame, rows_per_salt: int = ROWS_PER_SALT, parts: int = INDEX_PARTS
+) -> DataFrame:
+    """Vocabulary with ``part`` and ``n_salt``: where each term's postings are found."""
+    limit = heavy_threshold(vocab, "df", rows_per_salt)
+    n_salt = F.when(F.col("df") > limit, F.ceil(F.col("df") / limit)).otherwise(1).cast("int")
+    return vocab.withColumns({"n_salt": n_salt, "part": part_of("tok", parts)})
+
+
+def place_postings(
+    postings: DataFrame, vocab: DataFrame, parts: int = INDEX_PARTS, key: str = "row_idx"
+) -> DataFrame:
+    """Add ``part`` and ``salt``: terms with very many rows are spread over several salts.
 
-    ``vocab`` comes from term_salts, so readers of the postings know each word's salts from
-    it. At most MAX_HEAVY words have more than one, which bounds the broadcast.
+    ``vocab`` comes from place_terms, so readers of the postings know each term's place from
+    it. At most MAX_HEAVY terms have more than one salt, which bounds the broadcast.
     """
     heavy = vocab.where("n_salt > 1").select("tok", "n_salt")
     salt = F.coalesce(F.pmod(F.xxhash64(key), F.col("n_salt")), F.lit(0)).cast("int")
     return (
         postings.join(F.broadcast(heavy), "tok", "left")
-        .withColumn("salt", salt)
-        .select("tok", "salt", key)
-    )
-
-
-def term_salts(vocab: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Vocabulary with ``n_salt``, the number of salts of each word's postings."""
-    limit = heavy_threshold(vocab, "df", rows_per_salt)
-    return vocab.withColumn(
-        "n_salt",
-        F.when(F.col("df") > limit, F.ceil(F.col("df") / limit)).otherwise(1).cast("int"),
+        .withColumns({"salt": salt, "part": part_of("tok", parts)})
+        .select("part", "tok", "salt", key)
     )
 
 
@@ -151,29 +161,32 @@ def term_salts(vocab: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFram
 class TokenIndex:
     """What an English search reads."""
 
-    postings: DataFrame  # tok, salt, row_idx
-    vocab: DataFrame  # tok, df, n_salt
-    grams: DataFrame  # gram, tok, df, n_salt
-    counts: DataFrame  # gram, n_words, n_rows
+    postings: DataFrame  # part, tok, salt, row_idx
+    vocab: DataFrame  # tok, df, n_salt, part
+    grams: DataFrame  # gram_part, gram, tok, df, n_salt, part
+    counts: DataFrame  # gram_part, gram, n_words, n_rows
 
 
 @dataclass(frozen=True)
 class BigramIndex:
     """What a Chinese search reads."""
 
-    postings: DataFrame  # tok, salt, row_idx
-    vocab: DataFrame  # tok, df, n_salt
+    postings: DataFrame  # part, tok, salt, row_idx
+    vocab: DataFrame  # tok, df, n_salt, part
 
 
 def build_token_index(
-    passages: DataFrame, text: str = "text_en", rows_per_salt: int = ROWS_PER_SALT
+    passages: DataFrame,
+    text: str = "text_en",
+    rows_per_salt: int = ROWS_PER_SALT,
+    parts: int = INDEX_PARTS,
 ) -> TokenIndex:
     """Tokenise the corpus once; vocabulary and grams are derived from the written postings."""
     postings = stage(token_postings(passages, text))
-    vocab = stage(term_salts(vocabulary(postings), rows_per_salt))
-    grams = stage(vocabulary_grams(vocab))
+    vocab = stage(place_terms(vocabulary(postings), rows_per_salt, parts))
+    grams = stage(vocabulary_grams(vocab, parts))
     return TokenIndex(
-        postings=spread_postings(postings, vocab),
+        postings=place_postings(postings, vocab, parts),
         vocab=vocab,
         grams=grams,
         counts=stage(gram_counts(grams)),
@@ -181,18 +194,22 @@ def build_token_index(
 
 
 def build_bigram_index(
-    passages: DataFrame, text: str = "text_cn", rows_per_salt: int = ROWS_PER_SALT
+    passages: DataFrame,
+    text: str = "text_cn",
+    rows_per_salt: int = ROWS_PER_SALT,
+    parts: int = INDEX_PARTS,
 ) -> BigramIndex:
     postings = stage(bigram_postings(passages, text))
-    vocab = stage(term_salts(vocabulary(postings), rows_per_salt))
-    return BigramIndex(postings=spread_postings(postings, vocab), vocab=vocab)
+    vocab = stage(place_terms(vocabulary(postings), rows_per_salt, parts))
+    return BigramIndex(postings=place_postings(postings, vocab, parts), vocab=vocab)
 
 
-# The columns each stored index table is clustered by.
+# The columns each stored index table is clustered by; the first one partitions it if it is
+# a part number.
 _CLUSTER = {
-    "postings": ["tok", "row_idx"],
+    "postings": ["part", "tok", "row_idx"],
     "vocab": ["tok"],
-    "grams": ["gram", "tok"],
+    "grams": ["gram_part", "gram", "tok"],
     "counts": ["gram"],
 }
 
@@ -200,17 +217,18 @@ _CLUSTER = {
 def save_index(
     index: TokenIndex | BigramIndex, path: str, mode: str = "errorifexists"
 ) -> None:
-    """Write the index tables, range-clustered by term.
+    """Write the index tables, partitioned by part and range-clustered by term.
 
-    Ranges over (tok, row_idx) cut a frequent word over many files, where hash buckets would
-    put it into one; the sorted files' statistics let a lookup skip most of the table.
+    A search for a few terms reads their parts only. Ranges over (part, tok, row_idx) cut a
+    frequent word over many files, where one bucket per hash would make it one file.
     """
     for f in fields(index):
         key = _CLUSTER[f.name]
         df = getattr(index, f.name)
-        df.repartitionByRange(*key).sortWithinPartitions(*key).write.mode(mode).parquet(
-            f"{path}/{f.name}"
-        )
+        writer = df.repartitionByRange(*key).sortWithinPartitions(*key).write.mode(mode)
+        if key[0].endswith("part"):
+            writer = writer.partitionBy(key[0])
+        writer.parquet(f"{path}/{f.name}")
 
 
 def load_token_index(spark: SparkSession, path: str) -> TokenIndex:

@@ -20,6 +20,7 @@ from ..functions.text import present, split_ws
 from ..sources.corpus import address_dim
 from ..staging import stage
 from .postings import (
+    INDEX_PARTS,
     BigramIndex,
     TokenIndex,
     build_bigram_index,
@@ -67,7 +68,7 @@ def _single(term: str = "term") -> Column:
 
 
 def english_drivers(terms: DataFrame, index: TokenIndex) -> DataFrame:
-    """``(term, tok, n_salt)``: the words to read postings of, for English terms.
+    """``(term, part, tok, n_salt)``: the words to read postings of, for English terms.
 
     Of a term's tokens the one with the fewest postings, as bounded by the gram counts,
     drives; the vocabulary is searched for the driving tokens only.
@@ -79,27 +80,25 @@ def english_drivers(terms: DataFrame, index: TokenIndex) -> DataFrame:
     driver = stage(
         parts.join(cost, "qtok")
         .groupBy("term")
-        .agg(F.min_by(F.struct("qtok", "gram", "cost"), order).alias("d"))
+        .agg(F.min_by(F.struct("qtok", "gram", "gram_part", "cost"), order).alias("d"))
         .where("d.cost > 0")
-        .select("term", "d.qtok", "d.gram")
+        .select("term", "d.qtok", "d.gram", "d.gram_part")
     )
-    words = words_holding(
-        driver.select("qtok", "gram").distinct(), index.grams, index.counts
-    )
-    return driver.join(words, "qtok").select("term", "tok", "n_salt")
+    words = words_holding(driver.drop("term").distinct(), index.grams, index.counts)
+    return driver.join(words, "qtok").select("term", "part", "tok", "n_salt")
 
 
 def segment_drivers(terms: DataFrame, index: BigramIndex) -> DataFrame:
-    """``(term, tok, n_salt)``: the rarest bigram of each Chinese term that has one."""
+    """``(term, part, tok, n_salt)``: the rarest bigram of each Chinese term that has one."""
     parts = terms.select("term", F.explode(_parts()).alias("part"))
     grams = parts.select("term", F.explode(ngrams(F.col("part"), 2)).alias("tok")).distinct()
     counted = grams.join(index.vocab, "tok", "left")
     driver = counted.groupBy("term").agg(
         F.min_by(
-            F.struct("tok", "n_salt"), F.struct(F.coalesce("df", F.lit(0)), F.col("tok"))
+            F.struct("part", "tok", "n_salt"), F.struct(F.coalesce("df", F.lit(0)), F.col("tok"))
         ).alias("d")
     )
-    return driver.where("d.n_salt is not null").select("term", "d.tok", "d.n_salt")
+    return driver.where("d.n_salt is not null").select("term", "d.part", "d.tok", "d.n_salt")
 
 
 def candidates(drivers: DataFrame, postings: DataFrame) -> DataFrame:
@@ -107,11 +106,13 @@ def candidates(drivers: DataFrame, postings: DataFrame) -> DataFrame:
 
     Drivers are repeated once per salt of their word, so a frequent word's postings are read
     by many tasks. Drivers and pairs are written out: both meet corpus-sized tables next
-    (postings, text), and with their size known Spark shuffles those only if it must.
+    (postings, text), and with their size known Spark shuffles those only if it must. Of a
+    stored index only the drivers' parts are read (see words_holding for the filter).
     """
     salts = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")
-    asked = stage(drivers.select("term", "tok", salts))
-    return stage(postings.join(asked, ["tok", "salt"]).select("term", "row_idx").distinct())
+    asked = stage(drivers.select("term", "part", "tok", salts)).where("part >= 0")
+    found = postings.join(asked, ["part", "tok", "salt"])
+    return stage(found.select("term", "row_idx").distinct())
 
 
 def verify(pairs: DataFrame, passages: DataFrame, text: Column, phrase: Column) -> DataFrame:
@@ -186,12 +187,14 @@ def index_corpus(
     text_en: str = "text_en",
     text_cn: str = "text_cn",
     rows_per_salt: int = ROWS_PER_SALT,
+    parts: int = INDEX_PARTS,
 ) -> Corpus:
+    """Build the address table and the indexes of the languages that will be searched."""
     return Corpus(
         passages,
         stage(address_dim(passages)) if addresses else None,
-        build_token_index(passages, text_en, rows_per_salt) if "en" in langs else None,
-        build_bigram_index(passages, text_cn, rows_per_salt) if "cn" in langs else None,
+        build_token_index(passages, text_en, rows_per_salt, parts) if "en" in langs else None,
+        build_bigram_index(passages, text_cn, rows_per_salt, parts) if "cn" in langs else None,
         text_en,
         text_cn,
     )

@@ -19,6 +19,7 @@ from lectern.operators.postings import (
 )
 from lectern.operators.search import (
     Corpus,
+    english_drivers,
     index_corpus,
     page_hits,
     page_of,
@@ -28,6 +29,7 @@ from lectern.operators.search import (
 )
 from lectern.operators.skew import salted_join
 from lectern.sources.corpus import PASSAGES, save_passages_table
+from lectern.staging import stage
 
 
 def scan(rows, term, lang):
@@ -145,6 +147,11 @@ def test_saved_index_answers_alike(spark, crowd, tmp_path):
         bigrams=load_bigram_index(spark, str(tmp_path / "bigrams")),
     )
     assert ranked(search(loaded, asked, 7)) == expected(rows, asked, 7)
+    # A search reads only the parts its terms fall into.
+    terms = spark.createDataFrame([("en:spirit the",), ("en:anti",)], "term string")
+    drivers = stage(english_drivers(terms, loaded.tokens)).where("part >= 0")
+    plan = loaded.tokens.postings.join(drivers, ["part", "tok"])
+    assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_broadcast_or_shuffle_gives_the_same(spark, crowd):
