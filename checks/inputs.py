@@ -95,7 +95,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
         qty,
         F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("-"), qty + 2)).otherwise(""),
     )
-    items = table(spark, sf_dir, "lineitem").withColumn(
+    items = table(spark, sf_dir, "lineitem", "l_orderkey").withColumn(
         "r_regionkey", (F.col("l_orderkey") % 5).cast("int")
     )
     return (
@@ -106,7 +106,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digit_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order keys as the bare digits after a region's name."""
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", "o_orderkey").select(
         F.col("o_orderkey").alias("query_id"),
         (F.col("o_orderkey") % 5 + 1).cast("int").alias("book_idx"),
         F.col("o_orderkey").cast("string").alias("num"),
@@ -165,7 +165,7 @@ def conversation_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address requests from events; some conversations and turns do not exist."""
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", "event_id").select(
         F.col("event_id").alias("query_id"),
         *_place(F.col("user_id") % 120),
         (F.col("event_id") % 9).cast("int").alias("verse"),
@@ -188,7 +188,7 @@ def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     user, event = F.col("user_id"), F.col("event_id")
     e = (
-        table(spark, sf_dir, "events")
+        table(spark, sf_dir, "events", "event_id")
         .withColumn("book", user % 6 + 1)
         .withColumn("r_regionkey", ((F.col("book") - 1) % 5).cast("int"))
         .join(names, "r_regionkey")

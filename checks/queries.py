@@ -199,7 +199,7 @@ def candidate_counts(spark, sf_dir):
 @query
 def address_dim(spark, sf_dir):
     """Line items as addressed rows; most addresses are duplicated."""
-    rows = inputs.table(spark, sf_dir, "lineitem").select(
+    rows = inputs.table(spark, sf_dir, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("book_idx"),
         F.col("l_linenumber").alias("chapter"),
         F.lit(1).alias("verse"),
@@ -256,7 +256,7 @@ def resolve_candidates(spark, sf_dir):
 @query
 def chapter_context(spark, sf_dir):
     """Every event hits a turn; the turn's whole conversation is its context."""
-    hits = inputs.table(spark, sf_dir, "events").select(
+    hits = inputs.table(spark, sf_dir, "events", "event_id").select(
         F.col("event_id").alias("query_id"),
         (F.col("user_id") % 120 * 100 + F.col("event_id") % 9).alias("row_idx"),
     )

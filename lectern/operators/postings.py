@@ -132,10 +132,13 @@ def expand_vocab(query_tokens: DataFrame, grams: DataFrame, counts: DataFrame) -
 
 
 def place_terms(
-    vocab: DataFrame, rows_per_salt: int = ROWS_PER_SALT, parts: int = INDEX_PARTS
+    vocab: DataFrame, total: int, rows_per_salt: int = ROWS_PER_SALT, parts: int = INDEX_PARTS
 ) -> DataFrame:
-    """Vocabulary with ``part`` and ``n_salt``: where each term's postings are found."""
-    limit = heavy_threshold(vocab, "df", rows_per_salt)
+    """Vocabulary with ``part`` and ``n_salt``: where each term's postings are found.
+
+    ``total`` is the number of postings.
+    """
+    limit = heavy_threshold(total, rows_per_salt)
     n_salt = F.when(F.col("df") > limit, F.ceil(F.col("df") / limit)).otherwise(1).cast("int")
     return vocab.withColumns({"n_salt": n_salt, "part": part_of("tok", parts)})
 
@@ -183,7 +186,7 @@ def build_token_index(
 ) -> TokenIndex:
     """Tokenise the corpus once; vocabulary and grams are derived from the written postings."""
     postings = stage(token_postings(passages, text))
-    vocab = stage(place_terms(vocabulary(postings), rows_per_salt, parts))
+    vocab = stage(place_terms(vocabulary(postings), postings.count(), rows_per_salt, parts))
     grams = stage(vocabulary_grams(vocab, parts))
     return TokenIndex(
         postings=place_postings(postings, vocab, parts),
@@ -200,7 +203,7 @@ def build_bigram_index(
     parts: int = INDEX_PARTS,
 ) -> BigramIndex:
     postings = stage(bigram_postings(passages, text))
-    vocab = stage(place_terms(vocabulary(postings), rows_per_salt, parts))
+    vocab = stage(place_terms(vocabulary(postings), postings.count(), rows_per_salt, parts))
     return BigramIndex(postings=place_postings(postings, vocab, parts), vocab=vocab)
 
 

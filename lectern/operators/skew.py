@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,25 +21,28 @@ WINDOW_LIMIT = 1_000
 RANK_BLOCK = 1_000_000
 
 
-def heavy_threshold(counts: DataFrame, n: str, rows_per_salt: int) -> Column:
+def heavy_threshold(total: int, rows_per_salt: int) -> int:
     """Row count above which a key is heavy: max(rows_per_salt, total / MAX_HEAVY).
 
-    The total comes from a scalar subquery. At most MAX_HEAVY keys can each hold more than
-    1/MAX_HEAVY of all rows, so the heavy set is bounded whatever the data size.
+    At most MAX_HEAVY keys can each hold more than 1/MAX_HEAVY of all rows, so the heavy set
+    is bounded whatever the data size.
     """
-    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).scalar()
-    return F.greatest(F.lit(rows_per_salt), F.ceil(total / MAX_HEAVY))
+    return max(rows_per_salt, math.ceil(total / MAX_HEAVY))
 
 
 def heavy_keys(
-    counts: DataFrame, keys: Sequence[str], n: str = "n", rows_per_salt: int = ROWS_PER_SALT
-) -> DataFrame:
-    """The few heavy keys of a (key, n) table with the number of salts each needs."""
-    limit = heavy_threshold(counts, n, rows_per_salt)
-    return (
-        counts.where(F.col(n) > limit)
-        .select(*keys, F.ceil(F.col(n) / limit).cast("int").alias("n_salt"))
-    )
+    counts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT
+) -> DataFrame | None:
+    """The few heavy keys of a (key, n) table with the salts each needs; None without any.
+
+    Two numbers, the total and the largest count, come to the driver.
+    """
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = heavy_threshold(total or 0, rows_per_salt)
+    if (largest or 0) <= limit:
+        return None
+    n_salt = F.ceil(F.col("n") / limit).cast("int").alias("n_salt")
+    return stage(counts.where(F.col("n") > limit).select(*keys, n_salt))
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,15 +77,18 @@ def salted_join(
     if counts is None:
         left = stage(left)
         counts = key_counts(left, on)
-    heavy = heavy_keys(counts, on, rows_per_salt=rows_per_salt).withColumnRenamed("n_salt", "_nl")
-    if right_counts is None:
-        heavy = heavy.withColumn("_nr", F.lit(1))
-    else:
-        other = heavy_keys(right_counts, on, rows_per_salt=rows_per_salt)
-        heavy = heavy.join(other.withColumnRenamed("n_salt", "_nr"), on, "full")
-    if heavy.isEmpty():
+    left_heavy = heavy_keys(counts, on, rows_per_salt)
+    right_heavy = None
+    if right_counts is not None:
+        right_heavy = heavy_keys(right_counts, on, rows_per_salt)
+    if left_heavy is None and right_heavy is None:
         return left.join(right, on, how)
-    heavy = F.broadcast(stage(heavy))
+    none = (left_heavy or right_heavy).limit(0)
+    heavy = F.broadcast(
+        (left_heavy or none)
+        .withColumnRenamed("n_salt", "_nl")
+        .join((right_heavy or none).withColumnRenamed("n_salt", "_nr"), on, "full")
+    )
 
     def salt(columns: Sequence[str], n: str) -> Column:
         own = F.pmod(F.xxhash64(*columns), F.col(n))

@@ -44,7 +44,7 @@ def test_heavy_keys_are_few(spark):
     counts = spark.range(5000).select(F.col("id").alias("k"), n.alias("n"))
     heavy = heavy_keys(counts, ["k"], rows_per_salt=1)
     # 556 keys hold more than a thousandth of all rows, so no threshold may list more.
-    assert heavy.count() == 0
+    assert heavy is None
     heavy = heavy_keys(counts.where("n = 10000"), ["k"], rows_per_salt=1)
     assert heavy.count() == 556
     assert heavy.where("n_salt < 2").count() == 0
