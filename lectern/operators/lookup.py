@@ -162,7 +162,7 @@ def chapter_context(
     kept = [c for c in hits.columns if c != "row_idx"]
     placed = attach_rows(hits, passages, ["book_idx", "chapter"], rows_per_salt)
     asked = placed.select(*kept, F.col("row_idx").alias("hit_row"), "book_idx", "chapter")
-    return lookup_chapter(asked, address_dim(passages), books, rows_per_salt)
+    return lookup_chapter(asked, stage(address_dim(passages)), books, rows_per_salt)
 
 
 def first_rows(addresses: DataFrame, books: DataFrame) -> DataFrame:

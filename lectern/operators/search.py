@@ -90,14 +90,20 @@ def english_drivers(terms: DataFrame, index: TokenIndex) -> DataFrame:
 
 def segment_drivers(terms: DataFrame, index: BigramIndex) -> DataFrame:
     """``(term, part, tok, n_salt)``: the rarest bigram of each Chinese term that has one."""
-    parts = terms.select("term", F.explode(_parts()).alias("part"))
-    grams = parts.select("term", F.explode(ngrams(F.col("part"), 2)).alias("tok")).distinct()
-    counted = grams.join(index.vocab, "tok", "left")
-    driver = counted.groupBy("term").agg(
-        F.min_by(
-            F.struct("part", "tok", "n_salt"), F.struct(F.coalesce("df", F.lit(0)), F.col("tok"))
-        ).alias("d")
+    segments = terms.select("term", F.explode(_parts()).alias("segment"))
+    grams = stage(
+        segments.select("term", F.explode(ngrams(F.col("segment"), 2)).alias("tok")).distinct()
     )
+    # The vocabulary is cut to the asked bigrams by an inner join, which may broadcast them;
+    # an outer join from the terms would have to shuffle the vocabulary.
+    known = index.vocab.join(grams.select("tok").distinct(), "tok")
+    order = F.struct(F.coalesce("df", F.lit(0)), F.col("tok"))
+    driver = (
+        grams.join(known, "tok", "left")
+        .groupBy("term")
+        .agg(F.min_by(F.struct("part", "tok", "n_salt"), order).alias("d"))
+    )
+    # A bigram no text has drives its term, which then has no hits.
     return driver.where("d.n_salt is not null").select("term", "d.part", "d.tok", "d.n_salt")
 
 
