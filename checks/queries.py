@@ -97,9 +97,8 @@ def search_topn(spark, sf_dir):
 def search_page(spark, sf_dir):
     found = _documents(spark, sf_dir, "en")
     asked = inputs.two_words(spark, sf_dir)
-    return words.page_hits(
-        words.search(found, asked, None), words.search_totals(found, asked), page=2
-    )
+    hits = stage(words.search(found, asked, None))
+    return words.page_hits(hits, words.count_hits(hits, asked), page=2)
 
 
 # Citations

@@ -291,8 +291,22 @@ def search_totals(
     return found.unionByName(empty)
 
 
-def page_hits(hits: DataFrame, totals: DataFrame, page: int, size: int = PAGE_SIZE,
-              query_id: str = "query_id") -> DataFrame:
+def count_hits(hits: DataFrame, queries: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """Totals ``(query_id, total)`` from hits that were not limited, 0 included.
+
+    Where the hits are there already, this saves the second search of search_totals.
+    """
+    counts = hits.groupBy(query_id).agg(F.count(F.lit(1)).alias("total"))
+    return queries.select(query_id).join(counts, query_id, "left").fillna(0, ["total"])
+
+
+def page_hits(
+    hits: DataFrame,
+    totals: DataFrame,
+    page: int,
+    size: int = PAGE_SIZE,
+    query_id: str = "query_id",
+) -> DataFrame:
     """Page ``page`` of ranked hits with the rows shown so far and the rows remaining."""
     end = page * size
     on_page = hits.where(F.col("rank").between(end - size + 1, end))

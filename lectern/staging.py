@@ -30,9 +30,11 @@ def stage(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read, and go on from the written copy.
 
     The copy cuts the lineage, survives the loss of executors, and tells Spark its size, so
-    joins with it can be planned on facts.
+    joins with it can be planned on facts. Each application writes to its own sub-folder,
+    which can be dropped once the application is done.
     """
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/staged-{uuid.uuid4().hex}"
+    run = f"lectern-{spark.sparkContext.applicationId}"
+    path = f"{staging_dir(spark)}/{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,6 +19,7 @@ from lectern.operators.postings import (
 )
 from lectern.operators.search import (
     Corpus,
+    count_hits,
     english_drivers,
     index_corpus,
     page_hits,
@@ -182,6 +183,8 @@ def test_pages_add_up(spark, crowd):
     hits = search(found, asked, None).cache()
     totals = search_totals(found, asked).cache()
     total = {r.query_id: r.total for r in totals.collect()}
+    more = asked.unionByName(spark.createDataFrame([(3, "zz", "en")], asked.schema))
+    assert {r.query_id: r.total for r in count_hits(hits, more).collect()} == total | {3: 0}
     seen = {1: 0, 2: 0}
     for page in range(1, max(total.values()) // 20 + 2):
         for r in page_hits(hits, totals, page).groupBy("query_id").agg(
