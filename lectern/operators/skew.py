@@ -14,7 +14,7 @@ from ..staging import stage
 # Rows of one key above which the key is spread over several tasks.
 ROWS_PER_SALT = 1_000_000
 # Upper bound on the number of keys that are spread; see heavy_keys.
-MAX_HEAVY = 1_000
+MAX_HEAVY = 10_000
 # Largest limit for which Spark cuts a ranking window before its shuffle.
 WINDOW_LIMIT = 1_000
 # Width of the sort-key ranges a large group is cut into for ranking.
@@ -65,11 +65,11 @@ def salted_join(
 
     The key counts are looked at first; where they are not given, the left side is written
     out, as it is then read twice. Without a heavy key this is a plain join, and with the
-    left side's size known Spark broadcasts it or not on facts. Otherwise left rows of a heavy key get a salt
-    from a hash of ``spread_by``, and the matching right rows are repeated once per salt;
-    other keys keep the single salt 0. Where the right side may be heavy too, its counts
-    are given and it is spread in the same way against the left. The heavy lists are
-    bounded (see heavy_keys), which makes their broadcast safe.
+    left side's size known Spark broadcasts it or not on facts. Otherwise left rows of a
+    heavy key get a salt from a hash of ``spread_by``, and the matching right rows are
+    repeated once per salt; other keys keep the single salt 0. Where the right side may be
+    heavy too, its counts are given and it is spread in the same way against the left. The
+    heavy lists are bounded (see heavy_threshold), which makes their broadcast safe.
     """
     if right_counts is not None and how != "inner":
         raise ValueError("only an inner join may spread its right side")

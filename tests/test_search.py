@@ -120,9 +120,12 @@ def crowd(spark):
         if i % 3 == 0:
             asked.append((i, "the spirit", "en"))
         elif i % 2:
-            asked.append((i, " ".join(rng.choices(sounds + ["spirit", "anti"], k=rng.randint(1, 3))), "en"))
+            words = rng.choices(sounds + ["spirit", "anti"], k=rng.randint(1, 3))
+            asked.append((i, " ".join(words), "en"))
         else:
-            asked.append((i, " ".join("".join(rng.choices(chars + "约", k=rng.randint(1, 2))) for _ in range(rng.randint(1, 2))), "cn"))
+            pieces = range(rng.randint(1, 2))
+            words = ["".join(rng.choices(chars + "约", k=rng.randint(1, 2))) for _ in pieces]
+            asked.append((i, " ".join(words), "cn"))
     df = spark.createDataFrame(rows, PASSAGES).cache()
     return rows, df, spark.createDataFrame(asked, "query_id int, term string, lang string").cache()
 
@@ -210,7 +213,8 @@ def test_postings_and_vocabulary(verses):
 def test_expansion_against_nested_loop(spark, crowd):
     rows, df, _ = crowd
     words = {t for r in rows if r[4] for t in re.findall("[a-z0-9]+", r[4])}
-    asked = sorted({w[a:a + n] for w in sorted(words)[:60] for a in range(3) for n in (1, 2, 3, 5, 9)} - {""} | {"zzz", "zzzzz"})
+    cuts = {w[a:a + n] for w in sorted(words)[:60] for a in range(3) for n in (1, 2, 3, 5, 9)}
+    asked = sorted(cuts - {""} | {"zzz", "zzzzz"})
     grams = vocabulary_grams(vocabulary(token_postings(df)))
     got = expand_vocab(spark.createDataFrame([(a,) for a in asked], "qtok string"), grams, gram_counts(grams))
     assert sorted((r.qtok, r.tok) for r in got.collect()) == sorted(
@@ -233,7 +237,10 @@ def test_case_mapping_follows_the_text(spark):
     """Turkish dotted I lower-cases to i and a combining dot: the token is plain i."""
     rows = [(1, 1, 1, 1, "İstanbul", None), (2, 1, 1, 2, "STRASSE Straße", None)]
     df = spark.createDataFrame(rows, PASSAGES)
-    asked = spark.createDataFrame([(1, "İ", "en"), (2, "strasse", "en"), (3, "stra", "en")], "query_id int, term string, lang string")
+    asked = spark.createDataFrame(
+        [(1, "İ", "en"), (2, "strasse", "en"), (3, "stra", "en")],
+        "query_id int, term string, lang string",
+    )
     got = ranked(search(Corpus(df, tokens=build_token_index(df)), asked))
     assert got == {1: [(1, 1, False)], 2: [(1, 2, False)], 3: [(1, 2, False)]}
 

@@ -39,15 +39,16 @@ def test_salted_left_join_keeps_every_left_row_once(hot):
         salted_join(left, one, ["k"], ["a"], "left", right_counts=key_counts(one, ["k"]))
 
 
-def test_heavy_keys_are_few(spark):
-    n = F.when(F.col("id") % 9 == 0, 10_000).otherwise(F.col("id"))
+def test_heavy_keys_are_few(spark, monkeypatch):
+    monkeypatch.setattr("lectern.operators.skew.MAX_HEAVY", 100)
+    n = F.when(F.col("id") < 150, 10_000).otherwise(1)
     counts = spark.range(5000).select(F.col("id").alias("k"), n.alias("n"))
-    heavy = heavy_keys(counts, ["k"], rows_per_salt=1)
-    # 556 keys hold more than a thousandth of all rows, so no threshold may list more.
-    assert heavy is None
-    heavy = heavy_keys(counts.where("n = 10000"), ["k"], rows_per_salt=1)
-    assert heavy.count() == 556
+    # 150 keys share nearly all rows, so none holds more than a hundredth of them.
+    assert heavy_keys(counts, ["k"], rows_per_salt=1) is None
+    heavy = heavy_keys(counts.where("k >= 90"), ["k"], rows_per_salt=1)
+    assert heavy.count() == 60
     assert heavy.where("n_salt < 2").count() == 0
+    assert heavy_keys(counts.where("k < 0"), ["k"]) is None
 
 
 @pytest.mark.parametrize("limit", [None, 0, 5, 1500])
