@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, packing, quality, toxicity, unigram, urls
+from . import bpe, media, minhash, packing, quality, substrings, toxicity, unigram, urls
 from .common import fold, table
 
 #: The rules that op10 applies: host, path prefix, verdict.
@@ -47,6 +47,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_table(table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
+    "op6_substrings": op6_substrings,
     "op7_quality": op7_quality,
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
@@ -110,6 +115,26 @@ ORACLE = {
         FROM sets JOIN roots ON node = doc_id
     """
     % (_UPPER, _LOWER),
+    "op6_substrings": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, array_to_string(w[i:i + 34], ' ') AS g FROM words
+        ), repeated AS (
+            SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY g) >= 2
+        ), gone AS (
+            SELECT doc_id, list(DISTINCT j) AS js
+            FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM repeated) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, len(w) AS n_words, coalesce(len(js), 0) AS n_removed,
+                CASE WHEN js IS NULL THEN w
+                    ELSE [w[k] FOR k IN list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(js, k))] END AS v
+            FROM words LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+            sha256(array_to_string(v, ' ')) AS kept_sha256
+        FROM kept
+    """,
     "op10_urls": rf"""
         WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES}), cut AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest

@@ -1,2 +1,270 @@
-"""placeholder"""
-def cut(docs): raise NotImplementedError
+"""Substring dedup: words covered by a window of words that also begins elsewhere.
+
+A window's least gram hash (its minimizer) depends on its words only, so equal windows have the
+same one. Neighbouring windows with one minimizer are a segment; segments with a minimizer
+that occurs once hold no repeated window. The others go to the shard of their minimizer, equal ones once, with
+their number. A shard builds a compressed FM-index of its segments and streams them through it by
+backward search; matching statistics tell the repeated windows.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.staging import stage
+
+from .common import gram_hashes, map_batches, mix, span_hashes, text_bytes, words_of
+from .fmindex import repeated_windows
+
+WINDOW, GRAM = 35, 8
+#: Words of a shard, about.
+SHARD_WORDS = 1_000_000
+#: A minimizer with more different segments has no shard: its windows are counted one by one.
+SEGMENTS = 10_000
+
+_BASE = np.uint64(0xA24BAED4963EE407)
+
+
+def _minimizers(grams: np.ndarray, size: int) -> np.ndarray:
+    """Place of the leftmost least gram in every run of size grams."""
+    place, span = np.arange(len(grams)), 1
+    while span < size:
+        step = min(span, size - span)
+        left, right = place[:-step], place[step:]
+        place = np.where(grams[left] <= grams[right], left, right)
+        span += step
+    return place
+
+
+def segments_of(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(document, first word within it, windows, minimizer, digest) of the segments of a block of texts."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    if len(words) < window:
+        return none
+    grams = gram_hashes(words, GRAM)
+    place = _minimizers(grams, window - GRAM + 1)
+    counts = np.diff(first)
+    text = np.repeat(np.arange(len(counts)), counts)[: len(place)]
+    inside = np.arange(len(place)) + window <= first[1:][text]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
+    begins = np.flatnonzero(new & inside)
+    if not len(begins):
+        return none
+    ends = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1
+    n = ends - begins
+    powers = np.full(len(words) + 1, _BASE)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers[:-1])])
+    inverse = np.full(len(words) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+    inverse[0] = 1
+    np.multiply.accumulate(inverse, out=inverse)
+    digest = mix((sums[ends + window - 1] - sums[begins]) * inverse[begins] + n.astype(np.uint64))
+    return text[begins], begins - first[text[begins]], n, grams[place[begins]], digest
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The text with its key: rows of equal text have one key, and one result."""
+    return docs.select(F.xxhash64("text").alias("key"), F.octet_length("text").alias("size"), "text").where("text <> ''")
+
+
+def segment_table(docs: DataFrame, window: int) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(batch.column("text"))
+        starts, ends, first = words_of(data, offsets)
+        text, start, n, mini, digest = segments_of(span_hashes(data, starts, ends), first, window)
+        at = pa.array(text)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("key").take(at),
+                batch.column("size").take(at),
+                pa.array(start.astype(np.int32)),
+                pa.array(n.astype(np.int8)),
+                pa.array(mini.view(np.int64)),
+                pa.array(digest.view(np.int64)),
+            ],
+            ["key", "size", "start", "n", "mini", "segment"],
+        )
+
+    schema = "key long, size int, start int, n byte, mini long, segment long"
+    return map_batches(keyed(docs), run, schema)
+
+
+def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """wanted (key, size, start, n, ...) with the segment's word hashes, read from the texts again."""
+    rest = [c for c in wanted.columns if c not in ("key", "size")]
+    lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct(*rest)).alias("wanted"))
+    texts = keyed(docs).join(lists, ["key", "size"]).select("text", "wanted", "key", "size")
+    fields = [f for f in wanted.schema.fields if f.name in rest]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(batch.column("text"))
+        starts, ends, first = words_of(data, offsets)
+        words = span_hashes(data, starts, ends)
+        lists = batch.column("wanted")
+        owner = np.repeat(first[:-1], np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten()
+        start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
+        held = [words[a : a + m + window - 1].astype("<u8").tobytes() for a, m in zip(owner + start, n)]
+        arrays = [flat.field(f.name) for f in fields] + [pa.array(held, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, [f.name for f in fields] + ["words"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    return map_batches(texts, run, schema + ", words binary")
+
+
+def _search(group: pd.DataFrame, window: int) -> pd.DataFrame:
+    group = group.sort_values(["mini", "segment"], ignore_index=True)
+    rows = [np.frombuffer(w, "<u8") for w in group["words"]]
+    group["mask"] = repeated_windows(rows, group["copies"].to_numpy(), window)
+    return group.loc[group["mask"] != 0, ["mini", "segment", "n", "mask"]]
+
+
+def _counted(segments: DataFrame, window: int) -> DataFrame:
+    """Masks of segments whose minimizer has too many of them: equal windows are counted by their hash."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], [], []]
+        rows = (batch.column(c).to_pylist() for c in ("mini", "segment", "n", "copies", "words"))
+        for mini, segment, n, copies, words in zip(*rows):
+            for i, h in enumerate(gram_hashes(np.frombuffer(words, "<u8"), window).view(np.int64).tolist()):
+                for column, value in zip(out, (mini, segment, n, copies, h, i)):
+                    column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32())
+        names = ["mini", "segment", "n", "copies", "window", "i"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    schema = "mini long, segment long, n byte, copies long, window long, i int"
+    windows = segments.mapInArrow(lambda batches: map(run, batches), schema)
+    twice = windows.groupBy("mini", "window").agg(F.sum("copies").alias("c")).where("c >= 2").drop("c")
+    bit = F.expr("shiftleft(1L, i)")
+    return windows.join(twice, ["mini", "window"]).groupBy("mini", "segment", "n").agg(F.bit_or(bit).alias("mask"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, size, spans): of every text with repeated windows, their first words as (start, mask)."""
+    if not GRAM < window < GRAM + 62:
+        raise ValueError("a segment's windows must fit a mask of 62 bits")
+    segments = segment_table(docs, window)
+    seen = segments.groupBy("mini").agg(
+        F.count("*").alias("total"), F.min("segment").alias("low"), F.max("segment").alias("high")
+    )
+    seen = seen.where("total >= 2").select("mini", (F.col("low") == F.col("high")).alias("alike"))
+    hits = stage(segments.join(seen, "mini"))
+    different = hits.where("not alike").groupBy("mini", "segment", "n")
+    distinct = stage(
+        different.agg(F.count("*").alias("copies"), F.min(F.struct("key", "size", "start")).alias("at"))
+        .select("at.key", "at.size", "at.start", "n", "mini", "segment", "copies")
+    )
+    per_mini = stage(distinct.groupBy("mini").agg(F.count("*").alias("segments"), F.sum(F.col("n") + window - 1).alias("words")))
+    words = per_mini.agg(F.sum("words")).first()[0] or 0
+    shards = max(1, -(-words // SHARD_WORDS))
+    many = stage(per_mini.where(F.col("segments") > SEGMENTS).select("mini", F.lit(True).alias("many")))
+    marked = distinct.join(many, "mini", "left") if not many.isEmpty() else distinct.withColumn("many", F.lit(None).cast("boolean"))
+    held = stage(_with_words(docs, marked, window))
+    sharded = held.where("many is null").withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
+    masks = (
+        sharded.select("shard", "mini", "segment", "n", "copies", "words")
+        .groupBy("shard")
+        .applyInPandas(lambda g: _search(g, window), "mini long, segment long, n byte, mask long")
+    )
+    masks = stage(masks.union(_counted(held.where("many"), window)))
+    whole = F.expr("shiftleft(1L, n) - 1")
+    alike = hits.where("alike").select("key", "size", "start", whole.alias("mask"))
+    others = hits.where("not alike").join(masks, ["mini", "segment", "n"]).select("key", "size", "start", "mask")
+    spans = alike.union(others).groupBy("key", "size", "start").agg(F.max("mask").alias("mask"))
+    return spans.groupBy("key", "size").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+
+
+def covered(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words a repeated window covers."""
+    edges = np.zeros(n + 1, np.int64)
+    for bit in range(64 - GRAM):
+        own = starts[(masks >> bit & 1) == 1] + bit
+        np.add.at(edges, own, 1)
+        np.add.at(edges, own + window, -1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def _kept(batch: pa.RecordBatch, window: int):
+    """For each text of a batch: its words' bytes (begin, end), and which stay; None: no word goes."""
+    data, offsets = text_bytes(batch.column("text"))
+    starts, ends, first = words_of(data, offsets)
+    spans = batch.column("spans")
+    for i in range(batch.num_rows):
+        own = slice(first[i], first[i + 1])
+        stays = None
+        if spans[i].is_valid:
+            flat = spans[i].values
+            start, mask = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "mask"))
+            stays = ~covered(first[i + 1] - first[i], start, mask, window)
+        yield data, starts[own], ends[own], stays
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stays: np.ndarray | None) -> bytes:
+    """The words that stay, joined by one space."""
+    if stays is not None:
+        starts, ends = starts[stays], ends[stays]
+    if not len(starts):
+        return b""
+    raw = data[starts[0] : ends[-1]].tobytes()
+    base = starts[0]
+    return b" ".join([raw[a:b] for a, b in zip((starts - base).tolist(), (ends - base).tolist())])
+
+
+def _joined_to_spans(docs: DataFrame, window: int) -> DataFrame:
+    found = repeats(docs, window).select(F.col("key").alias("_key"), F.col("size").alias("_size"), "spans")
+    rows = docs.withColumns({"_k": F.xxhash64("text"), "_s": F.octet_length("text")})
+    return rows.join(found, (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_size")), "left")
+
+
+def digest_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space), a row each.
+
+    A null text has no words; texts shorter than a window lose nothing; repeated rows lose their
+    windows in every copy; an empty table gives no rows; other columns are not looked at.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, removed, digests = [], [], []
+        for data, starts, ends, stays in _kept(batch, window):
+            words.append(len(starts))
+            removed.append(0 if stays is None else int((~stays).sum()))
+            digests.append(hashlib.sha256(_joined(data, starts, ends, stays)).hexdigest())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
+            ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        )
+
+    joined = _joined_to_spans(docs.select("doc_id", "text"), window).select("doc_id", "text", "spans")
+    return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the repeated words gone from text (the rest joined by one space), all columns kept.
+
+    A text that loses nothing stays as it is; one that loses all words becomes empty. n_chars, if
+    there, is counted anew.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        for i, (data, starts, ends, stays) in enumerate(_kept(batch, window)):
+            if stays is not None and not stays.all():
+                texts[i] = _joined(data, starts, ends, stays).decode()
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+    joined = _joined_to_spans(rows, window).select("row", "text", "spans")
+    out = map_batches(joined, run, rows.schema)
+    columns = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[value.alias(c) for c, value in columns.items()])
