@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, packing, quality, substrings, toxicity, unigram, urls
+from . import bpe, media, minhash, neighbours, packing, quality, substrings, toxicity, unigram, urls
 from .common import fold, table
 
 #: The rules that op10 applies: host, path prefix, verdict.
@@ -32,6 +32,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.groups(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return found.select("vec_id", "n_links", "component_id", kept.alias("kept"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_table(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -78,6 +84,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_embeddings": op2_embeddings,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
@@ -92,6 +99,25 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLE = {
+    "op2_embeddings": """
+        WITH RECURSIVE sound AS (
+            SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+                AND len(list_filter(embedding, lambda v: v <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS least FROM embeddings
+            UNION
+            SELECT links.b, reach.least FROM reach JOIN links ON links.a = reach.node
+        ), roots AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id
+    """,
     "op4_minhash": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '%s', '%s'), '[^\x20\x09-\x0D]+') AS w
