@@ -156,7 +156,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     seen = segments.groupBy("mini").agg(
         F.count("*").alias("total"), F.min("segment").alias("low"), F.max("segment").alias("high")
     )
-    seen = seen.where("total >= 2").select("mini", (F.col("low") == F.col("high")).alias("alike"))
+    seen = stage(seen.where("total >= 2").select("mini", (F.col("low") == F.col("high")).alias("alike")))
     hits = stage(segments.join(seen, "mini"))
     different = hits.where("not alike").groupBy("mini", "segment", "n")
     distinct = stage(
