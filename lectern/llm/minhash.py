@@ -4,8 +4,8 @@ A document's set is the distinct hashes of its word shingles. Of every register
 exponentially distributed hashes counts, on an exponential scale: K = floor(1 - log_b(min)), cut
 off below and above. Registers of a union are the larger ones, so sketches merge. Equal sets are
 one class from the start. Classes that agree in all registers of a band are candidates: each with
-the first of its bucket, and in buckets that still hold several components, every pair of
-different components. The Jaccard similarity of a candidate is first estimated jointly, by
+the first of its bucket, and then, among classes that buckets hold together, those of the smaller
+components with all others. The Jaccard similarity of a candidate is first estimated jointly, by
 maximum likelihood over greater, smaller and equal registers, and what may reach the threshold is
 verified on the full sets.
 """
@@ -29,10 +29,10 @@ from .components import components
 REGISTERS, BAND, BASE, LARGEST = 128, 4, 1.001, 65534
 RATE = 20.0
 SHINGLE, PERCENT = 5, 80
-#: Candidates whose estimate lies so far below the threshold go; the estimate's deviation is 0.04.
-MARGIN = 0.25
-#: Members of a bucket that are compared with each other in one task's call.
-BLOCK = 1500
+#: Candidates whose estimate lies so far below the threshold go: five deviations of the estimate.
+MARGIN = 0.18
+#: Classes of a block; a task compares two blocks.
+BLOCK = 2000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,30 +189,41 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; one document of each class is read again for its set."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = stage(wanted.join(classes, "set_id").select("set_id", F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash")))
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(set_id, items): the full sets of the classes in nodes; one document of each is read again."""
+    wanted = stage(
+        nodes.select("set_id")
+        .distinct()
+        .join(classes, "set_id")
+        .select("set_id", F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
+    )
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = rows.join(wanted, rows.text_hash.eqNullSafe(wanted.hash) & rows.doc_id.eqNullSafe(wanted.of))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = [s.astype("<u8").tobytes() for s in sets_of(batch.column("text"), shingle)]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("set_id"), pa.array(held, pa.large_binary()).cast(pa.binary())], ["set_id", "items"]
-        )
+        return pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(held, pa.binary())], ["set_id", "items"])
 
     sets = map_batches(found.select("set_id", "text"), run, "set_id binary, items binary")
-    sets = stage(sets.dropDuplicates(["set_id"]))
+    return stage(sets.dropDuplicates(["set_id"]))
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other full sets are similar enough to one."""
+    sizes = np.array([len(o) for o in others], np.int64)
+    items = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, items), len(one) - 1)
+    shared = np.add.reduceat((one[at] == items).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * shared >= percent * (len(one) + sizes - shared)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("ia"), batch.column("ib")):
-                s, t = (np.frombuffer(x.as_buffer(), "<u8") for x in (a, b))
-                at = np.searchsorted(s, t)
-                shared = int((s[np.minimum(at, len(s) - 1)] == t).sum())
-                keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
+            ia, ib = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(c)] for c in ("ia", "ib"))
+            keep = [bool(_similar(a, [b], percent)[0]) for a, b in zip(ia, ib)]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     side = lambda c: sets.select(F.col("set_id").alias(c), F.col("items").alias(f"i{c}"))
@@ -220,35 +231,74 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return both.mapInArrow(compare, "a binary, b binary")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within a bucket that may link.
+def _join_rest(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links of the minor classes of a group with the classes of other components beside them.
 
-    members: band, set_id, root, n_shingles, sketch, n (members of the bucket). A large bucket is
-    cut into blocks, and each pair of blocks is a group of its own, so no task holds more than two blocks.
+    Candidates share a band and aren't ruled out by the estimate; all of them are verified, but
+    those that links of this call have joined already.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    spread = members.withColumn("blocks", blocks).withColumn("own", own)
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("set_id", ignore_index=True)
-        s = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, REGISTERS)
-        n, root = group["n_shingles"].to_numpy(), pd.factorize(group["root"])[0]
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k in range(len(group) - 1):
-            later = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
-            if len(later):
-                t = s[later]
-                keep = may_link(np.full(len(later), n[k]), n[later], (s[k] > t).sum(1), (s[k] < t).sum(1), percent)
-                found.append((np.full(keep.sum(), k), later[keep]))
-        a, b = (np.concatenate(x) for x in zip(*found))
-        ids = group["set_id"].to_numpy()
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-    columns = spread.select("band", "i", "j", "set_id", "root", "n_shingles", "sketch")
-    return columns.groupBy("band", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+    group = group.sort_values(["minor", "set_id"], ascending=[False, True], ignore_index=True)
+    s = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, REGISTERS)
+    n, root = group["n_shingles"].to_numpy(), pd.factorize(group["root"])[0]
+    sets = [np.frombuffer(x, "<u8") for x in group["items"]]
+    minors = int(group["minor"].sum())
+    found: list[tuple[int, int]] = []
+    for k in range(minors):
+        other = np.flatnonzero(root != root[k])
+        other = other[100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k])]
+        same = s[other] == s[k]
+        other = other[same.reshape(len(other), REGISTERS // BAND, BAND).all(2).any(1)]
+        if not len(other):
+            continue
+        t = s[other]
+        keep = may_link(np.full(len(other), n[k]), n[other], (s[k] > t).sum(1), (s[k] < t).sum(1), percent)
+        other = other[keep]
+        if not len(other):
+            continue
+        for c in other[_similar(sets[k], [sets[o] for o in other], percent)]:
+            if root[c] != root[k]:
+                found.append((k, c))
+                root[root == root[c]] = root[k]
+    ids = group["set_id"].to_numpy()
+    return pd.DataFrame({"a": [ids[a] for a, _ in found], "b": [ids[b] for _, b in found]}, dtype=object)
+
+
+def _rest(placed: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """What the first members of buckets didn't connect.
+
+    placed: set_id, group (classes that buckets hold together, directly or through others), root
+    (the component so far). In a group of several components the largest is the major one; every
+    class of the others, the minor ones, meets every class of the group in blocks, so a task holds
+    two blocks at most, and the large component isn't compared within itself.
+    """
+    sizes = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("group").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("major"), F.count("*").alias("roots")
+    )
+    shape = stage(
+        shape.where("roots > 1").select(
+            "group",
+            F.col("major.root").alias("major"),
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("all_blocks"),
+            F.ceil((F.col("n") - F.col("major.n")) / BLOCK).cast("int").alias("minor_blocks"),
+        )
+    )
+    open_ = stage(placed.join(shape, "group"))
+    sets = _sets(open_, classes, docs, shingle)
+    minor, code = F.col("root") != F.col("major"), F.xxhash64("set_id")
+    every = open_.withColumn("minor", F.lit(False)).withColumn("j", F.pmod(code, "all_blocks").cast("int"))
+    every = every.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)))
+    some = open_.where(minor).withColumn("minor", F.lit(True))
+    some = some.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)))
+    some = some.withColumn("i", F.pmod(code, "minor_blocks").cast("int"))
+    columns = ["group", "i", "j", "set_id", "root", "minor"]
+    dealt = every.select(*columns).union(some.select(*columns)).groupBy("group", "i", "j", "set_id", "root")
+    dealt = dealt.agg(F.max("minor").alias("minor")).join(
+        classes.select("set_id", "n_shingles", "sketch"), "set_id"
+    ).join(sets, "set_id")
+    return dealt.groupBy("group", "i", "j").applyInPandas(
+        lambda g: _join_rest(g, percent), "a binary, b binary"
+    )
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -274,25 +324,18 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     buckets = stage(
         bands.groupBy("band").agg(F.min("set_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     )
-    members = stage(bands.join(buckets, "band").select("band", "a", "n", F.col("set_id").alias("b")))
-    stars = members.where("a <> b").select("a", "b").distinct()
+    stars = bands.join(buckets, "band").where("a <> set_id").select("a", F.col("set_id").alias("b"))
+    stars = stage(stars.distinct())
     pairs = stage(_estimated(stars, classes, percent))
-    links = stage(_verified(pairs, classes, docs, shingle, percent))
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), classes, docs, shingle)
+    links = stage(_verified(pairs, sets, percent))
     roots = components(links)
-
-    # what a bucket's first member doesn't connect: pairs of the components left in a bucket
-    placed = members.select("band", "n", F.col("b").alias("set_id")).join(
-        roots.withColumnRenamed("node", "set_id"), "set_id", "left"
-    )
-    placed = placed.withColumn("root", F.coalesce("root", "set_id"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    open_ = placed.join(mixed.select("band"), "band")
-    sketched = open_.join(classes.select("set_id", "n_shingles", "sketch"), "set_id")
-    more = stage(_cross_pairs(sketched, percent))
+    held = components(stars).select(F.col("node").alias("set_id"), F.col("root").alias("group"))
+    placed = held.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = stage(placed.withColumn("root", F.coalesce("root", "set_id")))
+    more = stage(_rest(placed, classes, docs, shingle, percent))
     if not more.isEmpty():
-        found = stage(_verified(more, classes, docs, shingle, percent))
-        if not found.isEmpty():
-            roots = components(links.union(found))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = seen.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("root", F.coalesce("root", "set_id"))
