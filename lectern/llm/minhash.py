@@ -31,6 +31,8 @@ RATE = 20.0
 SHINGLE, PERCENT = 5, 80
 #: Candidates whose estimate lies so far below the threshold go: five deviations of the estimate.
 MARGIN = 0.18
+#: So many ids and digests at most go to every executor (about 50 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Classes of a block; a task compares two blocks.
 BLOCK = 2000
 
@@ -197,6 +199,8 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -
         .join(classes, "set_id")
         .select("set_id", F.col("first.doc_id").alias("of"), F.col("first.text_hash").alias("hash"))
     )
+    if wanted.count() <= BROADCAST_ROWS:  # then the texts stay where they are
+        wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = rows.join(wanted, rows.text_hash.eqNullSafe(wanted.hash) & rows.doc_id.eqNullSafe(wanted.of))
 
@@ -263,7 +267,7 @@ def _join_rest(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": [ids[a] for a, _ in found], "b": [ids[b] for _, b in found]}, dtype=object)
 
 
-def _rest(placed: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _rest(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """What the first members of buckets didn't connect.
 
     placed: set_id, group (classes that buckets hold together, directly or through others), root
@@ -284,7 +288,6 @@ def _rest(placed: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
         )
     )
     open_ = stage(placed.join(shape, "group"))
-    sets = _sets(open_, classes, docs, shingle)
     minor, code = F.col("root") != F.col("major"), F.xxhash64("set_id")
     every = open_.withColumn("minor", F.lit(False)).withColumn("j", F.pmod(code, "all_blocks").cast("int"))
     every = every.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)))
@@ -327,13 +330,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     stars = bands.join(buckets, "band").where("a <> set_id").select("a", F.col("set_id").alias("b"))
     stars = stage(stars.distinct())
     pairs = stage(_estimated(stars, classes, percent))
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("set_id")), classes, docs, shingle)
+    sets = _sets(stars.select(F.explode(F.array("a", "b")).alias("set_id")), classes, docs, shingle)
     links = stage(_verified(pairs, sets, percent))
     roots = components(links)
     held = components(stars).select(F.col("node").alias("set_id"), F.col("root").alias("group"))
     placed = held.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = stage(placed.withColumn("root", F.coalesce("root", "set_id")))
-    more = stage(_rest(placed, classes, docs, shingle, percent))
+    more = stage(_rest(placed, classes, sets, percent))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
