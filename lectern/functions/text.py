@@ -17,8 +17,10 @@ WS = (
 )
 CJK = "[\\u3400-\\u9FFF\\uF900-\\uFAFF]"
 
-# Largest number a citation part is read as; longer digit strings are clamped to it.
-MAX_NUMBER = 999_999_999
+# Largest number a citation part can be, that of an INT column.
+MAX_NUMBER = 2_147_483_647
+# Stands for a larger number: no chapter or verse has it.
+NO_NUMBER = -1
 
 # Unicode noncharacters, reserved for internal use, so they cannot be part of valid text.
 MARK_OPEN = "﷐"
@@ -61,15 +63,15 @@ def normalise_name(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(c)), f"\\.|{WS}+", "")
 
 
-def number_of(digits: Column | str) -> Column:
-    """Digit string to INT; null stays null, more than nine significant digits are clamped.
+def number_of(digits: Column | str, beyond: int = NO_NUMBER) -> Column:
+    """Digit string to INT; null stays null, and what an INT can't hold is ``beyond``.
 
     A plain try_cast would turn an overlong verse into NULL, which means "whole chapter".
     """
     significant = F.regexp_replace(_col(digits), "^0+(?=[0-9])", "")
-    return F.when(F.length(significant) > 9, F.lit(MAX_NUMBER)).otherwise(
-        significant.try_cast("int")
-    )
+    too_long = F.length(significant) > 10
+    number = F.when(~too_long, significant.try_cast("long"))
+    return F.when(too_long | (number > MAX_NUMBER), F.lit(beyond)).otherwise(number.try_cast("int"))
 
 
 def escape_html(c: Column | str) -> Column:
@@ -83,6 +85,17 @@ def quote_regex(c: Column | str) -> Column:
     return F.concat(F.lit("\\Q"), inner, F.lit("\\E"))
 
 
+def caseless_regex(c: Column | str) -> Column:
+    """A Java pattern that matches a string without regard to case, under (?iu).
+
+    ASCII letters fold among themselves only, and the four other letters that Unicode folds to
+    ASCII ones (I with dot, dotless i, long s, Kelvin sign) match just themselves.
+    """
+    quoted = F.regexp_replace(_col(c), "([\\x00-\\x7F&&[^A-Za-z0-9]])", "\\\\$1")
+    ascii_ = F.regexp_replace(quoted, "[\\x00-\\x7F]+", "(?-u:$0)")
+    return F.regexp_replace(ascii_, "[\\u0130\\u0131\\u017F\\u212A]+", "(?-iu:$0)")
+
+
 def percent_encode(c: Column | str) -> Column:
     """URI component encoding: blanks as %20 and ! ' ( ) ~ left bare."""
     pairs = [

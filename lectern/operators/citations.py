@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
+    MAX_NUMBER,
+    NO_NUMBER,
     WS,
     drop_ws,
     has_cjk,
@@ -118,13 +120,13 @@ def match_alias_prefix(
 def _address(num: Column | str) -> dict[str, Column]:
     whole = f"^{ADDRESS}\\z"
 
-    def part(i: int) -> Column:
-        return number_of(present(F.regexp_extract(num, whole, i)))
+    def part(i: int, beyond: int = NO_NUMBER) -> Column:
+        return number_of(present(F.regexp_extract(num, whole, i)), beyond)
 
     return {
         "chapter": part(1),
         "verse": part(2),
-        "verse_end": part(3),
+        "verse_end": part(3, MAX_NUMBER),
         "has_verse": part(2).isNotNull(),
     }
 
@@ -132,8 +134,8 @@ def _address(num: Column | str) -> dict[str, Column]:
 def parse_address(df: DataFrame, num: str = "num") -> DataFrame:
     """Add chapter, verse, verse_end and has_verse; chapter is null when ``num`` is no address.
 
-    Blanks may stand around '-' only. Numbers over nine digits are clamped, not nulled, as a
-    null verse means the whole chapter.
+    Blanks may stand around '-' only. A chapter or verse too large for INT becomes NO_NUMBER,
+    which no row has (a null verse means the whole chapter); such a range end bounds nothing.
     """
     return df.withColumns(_address(num))
 

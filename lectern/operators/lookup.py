@@ -48,17 +48,18 @@ def rows_between(
     Both sides are cut into blocks of VERSE_BLOCK verses, so the join key is (book, chapter,
     block): a huge chapter is spread over many keys, and an address holding one row, no block
     has more than VERSE_BLOCK rows. Blocks that many refs ask for are salted. The end is
-    first cut to the largest verse there is, so "1:1-999999999" costs no more than the
-    longest chapter.
+    first cut to the largest verse of the ref's own chapter, so an open range costs no more than that
+    chapter. A start below zero stands for no verse.
     """
-    top = addresses.agg(F.coalesce(F.max("verse"), F.lit(-1))).scalar()
+    tops = addresses.groupBy("book_idx", "chapter").agg(F.max("verse").alias("_top"))
     end = F.least(F.col(hi), F.col("_top"))
     blocks = F.sequence(
         F.floor(F.col(lo) / VERSE_BLOCK).cast("int"), F.floor(end / VERSE_BLOCK).cast("int")
     )
     asked = (
-        refs.withColumn("_top", top)
-        .where(F.col(lo) <= end)
+        refs.join(tops, ["book_idx", "chapter"])
+        .select(*refs.columns, "_top")
+        .where((F.col(lo) >= 0) & (F.col(lo) <= end))
         .withColumn("_block", F.explode(blocks))
         .drop("_top")
     )

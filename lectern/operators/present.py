@@ -10,7 +10,7 @@ from ..functions.text import (
     MARK_OPEN,
     escape_html,
     present,
-    quote_regex,
+    caseless_regex,
     split_ws,
     trim_ws,
 )
@@ -61,13 +61,14 @@ def marked(text: Column | str, term: Column | str) -> Column:
     longest first. Matches are bracketed in the plain text and the text escaped after that,
     so a part can never match inside an entity.
     """
-    t = F.col(text) if isinstance(text, str) else text
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    t = F.translate(t, MARK_OPEN + MARK_CLOSE, "\ufffd\ufffd")  # noncharacters that no text should hold
     q = trim_ws(term)
     pieces = split_ws(q)
     every = F.array_distinct(F.when(F.size(pieces) > 1, F.concat(F.array(q), pieces)).otherwise(pieces))
     longest_first = F.array_sort(every, lambda a, b: F.length(b) - F.length(a))
     pattern = F.concat(
-        F.lit("(?iu)"), F.array_join(F.transform(longest_first, quote_regex), "|")
+        F.lit("(?iu)"), F.array_join(F.transform(longest_first, caseless_regex), "|")
     )
     bracketed = F.regexp_replace(t, pattern, F.lit(f"{MARK_OPEN}$0{MARK_CLOSE}"))
     html = escape_html(bracketed)
@@ -157,15 +158,18 @@ def export_lines(
 ) -> DataFrame:
     """Add ``line``: label, two blanks, text; with ``both``, an English and a Chinese line.
 
+    A missing text is empty: label and blanks stay.
+
     ``rows`` are passages. Write the lines in canonical order with sources.export.
     """
     gap = F.lit(LABEL_GAP)
     if not both:
-        line = F.concat("label", gap, display_text(lang))
+        line = F.concat("label", gap, F.coalesce(display_text(lang), F.lit("")))
         return label_rows(rows, books, lang).withColumn("line", line).drop("label")
     en = label_rows(rows, books, "en").withColumnRenamed("label", "_en")
     named = label_rows(en, books, "cn")
-    line = F.concat("_en", gap, "text_en", F.lit("\n"), "label", gap, display_text("cn"))
+    en_text, cn_text = (F.coalesce(c, F.lit("")) for c in (F.col("text_en"), display_text("cn")))
+    line = F.concat("_en", gap, en_text, F.lit("\n"), "label", gap, cn_text)
     return named.withColumn("line", line).drop("_en", "label")
 
 

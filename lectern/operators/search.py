@@ -207,8 +207,13 @@ def index_corpus(
 
 
 def search_terms(corpus: Corpus, terms: DataFrame) -> DataFrame:
-    """All hits ``(term, row_idx, is_exact)`` of distinct terms in the indexed languages."""
-    found = []
+    """All hits ``(term, row_idx, is_exact)`` of distinct terms; a term whose language has no index is an error."""
+    for lang, index in (("en", corpus.tokens), ("cn", corpus.bigrams)):
+        if not index and not terms.where(F.col("term").startswith(f"{lang}:")).isEmpty():
+            raise ValueError(f"there are terms in {lang!r}, but no index of that language")
+    found = [terms.sparkSession.createDataFrame([], "term string, row_idx long, is_exact boolean")]
+    if corpus.tokens or corpus.bigrams:
+        found = []
     if corpus.tokens:
         english = terms.where("term like 'en:%'")
         found.append(search_english(corpus.passages, english, corpus.tokens, corpus.text_en))

@@ -38,11 +38,11 @@ def read_passages(spark: SparkSession, path: str) -> DataFrame:
 
     A JSON array has no split points, so each file is one task: a large corpus comes as
     many files, whose rows are numbered on in path order. Convert once with
-    ``write_passages`` and work on the result.
+    ``write_passages`` and work on the result. A file that is no such array is an error.
     """
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"),
-        F.from_json("value", "array<array<string>>").alias("rows"),
+        F.from_json("value", "array<array<string>>", {"mode": "FAILFAST"}).alias("rows"),
     )
     rows = files.select("file", F.posexplode("rows").alias("pos", "r"))
     # One row per file, so the window sees the file list only, never the passages.
@@ -90,10 +90,10 @@ def save_passages_table(
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """Read the book dimension; ``book_pos`` keeps the order of the file."""
+    """Read the book dimension; ``book_pos`` keeps the order of the file. A broken file is an error."""
     return (
         spark.read.text(path, wholetext=True)
-        .select(F.posexplode(F.from_json("value", T.ArrayType(BOOKS))).alias("book_pos", "b"))
+        .select(F.posexplode(F.from_json("value", T.ArrayType(BOOKS), {"mode": "FAILFAST"})).alias("book_pos", "b"))
         .select("book_pos", "b.*")
     )
 
