@@ -98,54 +98,57 @@ def segment_table(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (key, size, start, n, ...) with the segment's word hashes, read from the texts again."""
+    """wanted (key, size, start, n, ...) with the segment's word hashes, read from the texts again, once
+    for each row of wanted and text of that key."""
     rest = [c for c in wanted.columns if c not in ("key", "size")]
     lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct(*rest)).alias("wanted"))
     texts = keyed(docs).join(lists, ["key", "size"]).select("text", "wanted", "key", "size")
-    fields = [f for f in wanted.schema.fields if f.name in rest]
+    kinds = "key long, size int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name in rest)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column("text"))
         starts, ends, first = words_of(data, offsets)
         words = span_hashes(data, starts, ends)
         lists = batch.column("wanted")
-        owner = np.repeat(first[:-1], np.diff(lists.offsets.to_numpy()))
+        each = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        owner = first[:-1][each]
         flat = lists.flatten()
         start, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n"))
         held = [words[a : a + m + window - 1].astype("<u8").tobytes() for a, m in zip(owner + start, n)]
-        arrays = [flat.field(f.name) for f in fields] + [pa.array(held, pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, [f.name for f in fields] + ["words"])
+        arrays = [batch.column(c).take(pa.array(each)) for c in ("key", "size")]
+        arrays += [flat.field(c) for c in rest] + [pa.array(held, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "size", *rest, "words"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return map_batches(texts, run, schema + ", words binary")
+    return map_batches(texts, run, kinds + ", words binary")
 
 
 def _search(group: pd.DataFrame, window: int) -> pd.DataFrame:
     group = group.sort_values(["mini", "segment"], ignore_index=True)
     rows = [np.frombuffer(w, "<u8") for w in group["words"]]
     group["mask"] = repeated_windows(rows, group["copies"].to_numpy(), window)
-    return group.loc[group["mask"] != 0, ["mini", "segment", "n", "mask"]]
+    return group.loc[(group["mask"] != 0) & (group["copies"] == 1), ["key", "size", "start", "mask"]]
 
 
 def _counted(segments: DataFrame, window: int) -> DataFrame:
-    """Masks of segments whose minimizer has too many of them: equal windows are counted by their hash."""
+    """As _search, of segments whose minimizer has too many: equal windows are counted by their hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], [], []]
-        rows = (batch.column(c).to_pylist() for c in ("mini", "segment", "n", "copies", "words"))
-        for mini, segment, n, copies, words in zip(*rows):
+        names = ["key", "size", "start", "mini", "copies", "window", "i"]
+        out: list[list] = [[] for _ in names]
+        rows = (batch.column(c).to_pylist() for c in (*names[:5], "words"))
+        for *own, words in zip(*rows):
             for i, h in enumerate(gram_hashes(np.frombuffer(words, "<u8"), window).view(np.int64).tolist()):
-                for column, value in zip(out, (mini, segment, n, copies, h, i)):
+                for column, value in zip(out, (*own, h, i)):
                     column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.int32())
-        names = ["mini", "segment", "n", "copies", "window", "i"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    schema = "mini long, segment long, n byte, copies long, window long, i int"
+    schema = "key long, size int, start int, mini long, copies long, window long, i int"
     windows = segments.mapInArrow(lambda batches: map(run, batches), schema)
     twice = windows.groupBy("mini", "window").agg(F.sum("copies").alias("c")).where("c >= 2").drop("c")
     bit = F.expr("shiftleft(1L, i)")
-    return windows.join(twice, ["mini", "window"]).groupBy("mini", "segment", "n").agg(F.bit_or(bit).alias("mask"))
+    alone = windows.where("copies = 1").join(twice, ["mini", "window"])
+    return alone.groupBy("key", "size", "start").agg(F.bit_or(bit).alias("mask"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -168,17 +171,20 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = max(1, -(-words // SHARD_WORDS))
     many = stage(per_mini.where(F.col("segments") > SEGMENTS).select("mini", F.lit(True).alias("many")))
     marked = distinct.join(many, "mini", "left") if not many.isEmpty() else distinct.withColumn("many", F.lit(None).cast("boolean"))
-    held = stage(_with_words(docs, marked, window))
+    held = stage(_with_words(docs, marked, window).dropDuplicates(["mini", "segment", "n"]))
     sharded = held.where("many is null").withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
     masks = (
-        sharded.select("shard", "mini", "segment", "n", "copies", "words")
+        sharded.select("shard", "key", "size", "start", "mini", "segment", "copies", "words")
         .groupBy("shard")
-        .applyInPandas(lambda g: _search(g, window), "mini long, segment long, n byte, mask long")
+        .applyInPandas(lambda g: _search(g, window), "key long, size int, start int, mask long")
     )
     masks = stage(masks.union(_counted(held.where("many"), window)))
     whole = F.expr("shiftleft(1L, n) - 1")
     alike = hits.where("alike").select("key", "size", "start", whole.alias("mask"))
-    others = hits.where("not alike").join(masks, ["mini", "segment", "n"]).select("key", "size", "start", "mask")
+    # a segment that stands once has its place with its mask; one that stands twice is repeated as a whole
+    twice = distinct.where("copies >= 2").select("mini", "segment", "n")
+    others = hits.where("not alike").join(twice, ["mini", "segment", "n"])
+    others = others.select("key", "size", "start", whole.alias("mask")).union(masks)
     spans = alike.union(others).groupBy("key", "size", "start").agg(F.max("mask").alias("mask"))
     return spans.groupBy("key", "size").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
