@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text is worked through in blocks of whole documents of about so many bytes.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 BLOCK_ROWS = 1024
 
 _SEPARATOR = np.zeros(256, bool)
