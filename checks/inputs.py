@@ -31,35 +31,40 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items with the first and third word of their text."""
-    words = F.split("text", " ")
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.get(words, F.lit(0)).alias("w1"),
-        F.coalesce(F.get(words, F.lit(2)), F.lit("")).alias("w2"),
-        "text",
+#: A query's id is its item's id times this, plus its place in the item's text.
+PLACES = 1_000_000
+
+
+def _places(spark: SparkSession, sf_dir: str, terms, lang: str) -> DataFrame:
+    """A query for every element of terms, an array made of a benchmark item's whole text."""
+    return (
+        table(spark, sf_dir, "benchmark")
+        .select("item_id", F.posexplode(terms).alias("pos", "term"))
+        .select(
+            (F.col("item_id") * PLACES + F.col("pos")).alias("query_id"),
+            "term",
+            F.lit(lang).alias("lang"),
+        )
     )
 
 
 def two_words(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    return benchmark_words(spark, sf_dir).select(
-        "query_id", F.concat_ws(" ", "w1", "w2").alias("term"), F.lit(lang).alias("lang")
-    )
+    """Every word of every benchmark item with the next one; the last stands alone."""
+    words = F.split("text", " ")
+    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    return _places(spark, sf_dir, pairs, lang)
 
 
 def one_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first run of at least three letters or digits of every benchmark item."""
-    word = F.regexp_extract(F.lower("text"), "[a-z0-9]{3,}", 0)
-    return benchmark_words(spark, sf_dir).select(
-        "query_id", word.alias("term"), F.lit("en").alias("lang")
-    )
+    """Every run of letters or digits of every benchmark item."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    return _places(spark, sf_dir, runs, "en")
 
 
 def one_character(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_words(spark, sf_dir).select(
-        "query_id", F.substring("text", 1, 1).alias("term"), F.lit("cn").alias("lang")
-    )
+    """Every character that a benchmark item holds, in the order of their first places."""
+    chars = F.array_distinct(F.filter(F.split("text", ""), lambda c: c != ""))
+    return _places(spark, sf_dir, chars, "cn")
 
 
 def region_books(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,17 +10,24 @@ doc_tokens AS (
   FROM documents
 )"""
 
-BENCHMARK_WORDS = """
-words AS (
-  SELECT item_id AS query_id, split_part(text, ' ', 1) AS w1, split_part(text, ' ', 3) AS w2, text
-  FROM benchmark
-)"""
+def asked_at_places(terms: str) -> str:
+    """CTE asked: a query for every element of terms, a list made of an item's whole text."""
+    return f"""
+lists AS (SELECT item_id, {terms} AS terms FROM benchmark),
+places AS (SELECT item_id, terms, unnest(range(1, len(terms) + 1)) AS pos FROM lists),
+asked AS (SELECT item_id * 1000000 + pos - 1 AS query_id, terms[pos] AS term FROM places)"""
 
-TWO_WORDS = f"""{BENCHMARK_WORDS},
-asked AS (SELECT query_id, w1 || ' ' || w2 AS term FROM words)"""
 
-ONE_WORD = f"""{BENCHMARK_WORDS},
-asked AS (SELECT query_id, regexp_extract(lower(text), '[a-z0-9]{{3,}}') AS term FROM words)"""
+WORDS = "string_split(text, ' ')"
+TWO_WORDS = asked_at_places(
+    f"list_transform(range(1, len({WORDS}) + 1), lambda i: concat_ws(' ', {WORDS}[i], {WORDS}[i + 1]))"
+)
+ONE_WORD = asked_at_places("regexp_extract_all(lower(text), '[a-z0-9]+')")
+# in the order of their first places
+ONE_CHARACTER = asked_at_places(
+    "list_transform(list_sort(list_transform(list_distinct(string_split(text, '')), "
+    "lambda c: {'place': instr(text, c), 'c': c})), lambda s: s.c)"
+)
 
 
 def english_hits(source: str, key: str) -> str:
@@ -289,10 +296,10 @@ ORACLE: dict[str, str] = {
         SELECT qtok, tok, df FROM q JOIN vocab ON contains(tok, qtok)""",
     "search_single": f"WITH {ONE_WORD}, {DOC_HITS} {RANKED}",
     "search_and": f"WITH {TWO_WORDS}, {DOC_HITS} {RANKED}",
-    "search_segments": f"""WITH {BENCHMARK_WORDS},
-        {segment_hits("SELECT query_id, w1 || ' ' || w2 AS term FROM words")}""",
-    "search_one_char": f"""WITH {BENCHMARK_WORDS},
-        {segment_hits("SELECT query_id, substr(text, 1, 1) AS term FROM words")}""",
+    "search_segments": f"""WITH {TWO_WORDS},
+        {segment_hits("SELECT query_id, term FROM asked")}""",
+    "search_one_char": f"""WITH {ONE_CHARACTER},
+        {segment_hits("SELECT query_id, term FROM asked")}""",
     "search_totals": f"""WITH {TWO_WORDS}, {DOC_HITS}
         SELECT a.query_id, count(h.query_id) AS total
         FROM asked a LEFT JOIN hits h ON a.query_id = h.query_id GROUP BY ALL""",
