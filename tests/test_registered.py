@@ -20,7 +20,8 @@ SAMPLE = ["search_and", "search_segments", "chapter_view", "omni_search_rows", "
 def test_every_query_has_its_sql():
     assert set(ORACLE) == set(QUERIES)
     entry = importlib.import_module("__spark_entry__")
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    # queries that SQL cannot express, such as trained models, have none and are tested by themselves
+    assert set(QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
