@@ -304,15 +304,8 @@ def _rest(placed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     )
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id, a row per document.
-
-    Documents link if 100 * intersection >= percent * union of their shingle sets; component_id is
-    the least doc_id reachable. Documents without words (or a null text) link with nothing and are
-    their own component. A null doc_id takes part; it is named by the least other id of its
-    component, or null. Rows of equal doc_id are told apart by their text only. An empty table
-    gives no rows; other columns are not looked at.
-    """
+def _rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and root (one for each component; null without words), a row per document."""
     seen = stage(sketch_table(docs, shingle))
     classes = stage(
         seen.where("set_id is not null")
@@ -341,7 +334,19 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = seen.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    named = named.withColumn("root", F.coalesce("root", "set_id"))
+    return named.select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "set_id").alias("root"))
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id, a row per document.
+
+    Documents link if 100 * intersection >= percent * union of their shingle sets; component_id is
+    the least doc_id reachable. Documents without words (or a null text) link with nothing and are
+    their own component. A null doc_id takes part; it is named by the least other id of its
+    component, or null. Rows of equal doc_id are told apart by their text only. An empty table
+    gives no rows; other columns are not looked at.
+    """
+    named = _rooted(docs, shingle, percent)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "root", "left")
     return out.select(
@@ -353,17 +358,25 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that are their component's least doc_id, with all their columns.
+    """One row of each component, with all its columns; documents without words all stay.
 
-    Rows that share this doc_id all stay, as do rows without a doc_id whose component has no other.
+    It is a row of the least doc_id, of equal ids the least text_hash; a null doc_id comes last. Of
+    rows that repeat both any one stays.
     """
-    found = groups(docs, shingle, percent)
-    gone = found.where("component_id is not null and not doc_id <=> component_id")
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"))
-    kept = rows.join(
-        gone,
-        F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")),
-        "left_anti",
+    found = _rooted(docs, shingle, percent).where("root is not null")
+    found = stage(found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    first = found.groupBy("root").agg(F.min(order).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    marks = found.join(first, "root").select(
+        F.col("doc_id").alias("_of"), F.col("text_hash").alias("_of_hash"), stays.alias("_stays"), "n"
     )
+    marks = stage(marks.where("not _stays or n > 1").drop("n"))
+    gone, again = marks.where("not _stays"), marks.where("_stays")
+    own = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_of_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash"))
+    kept = rows.join(gone, own, "left_anti")
+    if not again.isEmpty():  # repeats meet after each task has kept one of its own
+        one = rows.join(again, own, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        kept = kept.join(again, own, "left_anti").union(one)
     return kept.select("_row.*")

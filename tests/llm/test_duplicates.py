@@ -87,6 +87,20 @@ def test_minhash_null_and_repeated_ids(spark):
     ]
 
 
+def test_one_row_of_each_component_stays_and_is_not_cut(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, text("a"))] * 3 + [(2, text("a"))] + [(None, text("b"))] * 2 + [(None, text("b") + " x")]
+    rows += [(None, text("c")), (3, text("c")), (4, text("d")), (4, text("d").upper()), (4, text("e")), (5, text("f"))]
+    rows += [(6, ""), (6, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, str(n), n, None, 5) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    one = minhash.keep_one(docs)
+    kept = [(r["doc_id"], (r["text"] or "-")[0].lower()) for r in one.collect()]
+    want = [(1, "a"), (None, "b"), (3, "c"), (4, "d"), (4, "e"), (5, "f"), (6, "-"), (6, "-"), (None, "-"), (None, "-")]
+    assert sorted(kept, key=str) == sorted(want, key=str) and one.columns == docs.columns
+    assert all(len(words(r["text"])) >= 40 for r in substrings.cut(one).collect() if r["text"])
+    assert sum(bool(r["text"]) for r in substrings.cut(one).collect()) == 6
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 1200, dtype=np.uint64)
