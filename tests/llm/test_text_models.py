@@ -104,6 +104,23 @@ def test_classifiers_on_held_out_rows(spark):
     assert best.where("score >= 0.7").count() >= 0.97 * best.count()
 
 
+def test_thresholds_do_not_follow_the_sample(spark, monkeypatch):
+    """Three of eight toxic texts are like every eleventh clean one; there are ten clean ones to a toxic one."""
+    kinds = [("vile", 1, 400), ("murky", 1, 240), ("murky", 0, 600), ("fine", 0, 6000)]
+    rows = [(f"{word} common words", label) for word, label, n in kinds for _ in range(n)]
+    random.Random(2).shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(rows)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(fold("doc_id", 5) == 0)
+    for most in (6000, 300):
+        monkeypatch.setattr(toxicity, "SAMPLE_ROWS", most)
+        model = toxicity.fit(docs, labels)
+        scored = {r["text"].split()[0]: r["score"] for r in docs.join(toxicity.score_table(docs, model), "doc_id").collect()}
+        assert scored["murky"] < model.thresholds["en"] <= scored["vile"], (most, model.thresholds, scored)
+        assert toxicity.keep_clean(clean, model).count() == clean.count()
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(fold("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
