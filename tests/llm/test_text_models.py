@@ -121,6 +121,22 @@ def test_thresholds_do_not_follow_the_sample(spark, monkeypatch):
         assert toxicity.keep_clean(clean, model).count() == clean.count()
 
 
+def test_long_labelled_texts_train(spark, monkeypatch):
+    """All toxic texts are long, with the telling word last; a text repeats, and a bound on words ends the sample."""
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 30)
+    texts = ["so " * 50 + "vile" if i % 4 == 0 else f"so fine {i % 3}" for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(4, texts[4], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    data, positives, negatives = toxicity.sample(docs, labels)
+    known = docs.join(labels, "doc_id").where(fold("doc_id", 5) != 0)
+    assert sorted((len(w), c) for w, c, _ in data) == sorted((len(r["text"].split()), r["toxic"]) for r in known.collect())
+    model = toxicity.train(data, positives, negatives)
+    assert {r["doc_id"] for r in toxicity.score_table(docs, model).where("toxic").collect()} == set(range(0, 400, 4))
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 10)
+    cut = [(len(w), c) for w, c, _ in toxicity.sample(docs, labels)[0]]
+    assert sum(c for _, c in cut) == 6 and max(n for n, _ in cut) == 51 and sum(n for n, c in cut if c) - 51 < 300
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(fold("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
