@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, neighbours, packing, quality, substrings, toxicity, unigram, urls
+from . import bpe, media, minhash, neighbours, packing, quality, substrings, topk, toxicity, unigram, urls
 from .common import fold, table
 
 #: The rules that op10 applies: host, path prefix, verdict.
@@ -82,6 +82,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embeddings": op2_embeddings,
@@ -93,6 +97,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
     "op10_urls": op10_urls,
+    "op13_topk": op13_topk,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -180,4 +185,16 @@ ORACLE = {
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parsed LEFT JOIN best USING (uid)
     """,
+    "op13_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        )
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM scores QUALIFY rank <= 5
+    """,
 }
