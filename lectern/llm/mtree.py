@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Entries of a node at most.
-PAGE = 64
+#: Entries of a leaf, and children of a node, at most.
+PAGE, FANOUT = 512, 64
 #: Sums of products below it are exact in double precision.
 EXACT = float(1 << 53)
 
@@ -54,7 +54,7 @@ def distances(vectors: np.ndarray, lifts: np.ndarray, centre: np.ndarray, centre
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, top: float) -> Tree:
-    """Bulk loading from the top: a node's entries go to the nearest of up to PAGE centres among them."""
+    """Bulk loading from the top: a node's entries go to the nearest of up to FANOUT centres among them."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     lifts = lift(vectors, top)
@@ -69,11 +69,11 @@ def build(ids: np.ndarray, vectors: np.ndarray, top: float) -> Tree:
         if len(own) <= PAGE:
             tree.nodes[place] = Node(vectors[own], far, np.zeros(0), none, ids[own])
             return place
-        centres = own[np.linspace(0, len(own) - 1, min(PAGE, -(-len(own) // PAGE) * 2)).astype(np.int64)]
+        centres = own[np.linspace(0, len(own) - 1, min(FANOUT, -(-len(own) // PAGE))).astype(np.int64)]
         kept = np.sort(np.unique(np.column_stack([vectors[centres], lifts[centres]]), axis=0, return_index=True)[1])
         centres = centres[kept]
         if len(centres) == 1:  # equal vectors, or nearly so: by id
-            parts = np.array_split(own, min(PAGE, -(-len(own) // PAGE)))
+            parts = np.array_split(own, min(FANOUT, -(-len(own) // PAGE)))
             centres = np.repeat(centres, len(parts))
         else:
             nearest = np.full(len(own), np.inf)
@@ -153,16 +153,21 @@ def search(tree: Tree, query: np.ndarray, own: int, k: int, floor: float = -np.i
                 if low <= limit:
                     heapq.heappush(heap, (max(low, 0.0), child, d))
             continue
-        near = np.flatnonzero((gap <= limit) & (node.ids != own))
-        if not len(near):
-            continue
-        scores = products(node.vectors[near], query, exact)
-        computed += len(near)
-        held = np.flatnonzero(scores >= least) if least != -np.inf else np.arange(len(near))
-        if not len(held):
+        near = (gap <= limit) & (node.ids != own)
+        taken = np.count_nonzero(near)
+        if not taken:
             continue
+        # copying most of a page costs more than computing the few entries that could be passed over
+        whole = taken * 4 > 3 * len(near)
+        scores = products(node.vectors if whole else node.vectors[near], query, exact)
+        computed += len(scores)
+        held = near if whole else np.ones(taken, bool)
+        if least != -np.inf:
+            held = held & (scores >= least)
+            if not held.any():
+                continue
         best_scores = np.concatenate([best_scores, scores[held].astype(object)])
-        best_ids = np.concatenate([best_ids, node.ids[near[held]]])
+        best_ids = np.concatenate([best_ids, (node.ids if whole else node.ids[near])[held]])
         order = sorted(range(len(best_ids)), key=lambda i: (-best_scores[i], best_ids[i]))[:k]
         best_scores, best_ids = best_scores[order], best_ids[order]
         if len(best_ids) == k and best_scores[-1] > least:

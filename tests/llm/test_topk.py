@@ -36,18 +36,18 @@ def clustered(n, dim, seed):
 
 
 def test_search_is_brute_force_and_passes_entries_over():
-    v = np.floor(256 * clustered(5000, 8, 1).astype(float))
-    ids = np.random.default_rng(2).permutation(5000)
+    v = np.floor(256 * clustered(20000, 8, 1).astype(float))
+    ids = np.random.default_rng(2).permutation(20000)
     tree = mtree.build(ids, v, float((v * v).sum(1).max()))
     assert len(tree.nodes) > 20 and max(len(n.parent) for n in tree.nodes) <= mtree.PAGE
     computed = 0
-    for i in range(0, 5000, 50):
+    for i in range(0, 20000, 200):
         scores = (v @ v[i]).astype(np.int64)
         order = [j for j in np.lexsort((ids, -scores)) if j != i][:5]
         got = mtree.search(tree, v[i], int(ids[i]), 5)
         assert got.ids == ids[order].tolist() and got.scores == scores[order].tolist()
         computed += got.computed
-    assert computed < 100 * 5000 / 2  # less than half of all distances
+    assert computed < 100 * 20000 / 2  # less than half of all distances
 
 
 def test_covering_radii_and_parent_distances_hold():
