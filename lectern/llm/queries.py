@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, neighbours, packing, quality, substrings, topk, toxicity, unigram, urls
+from . import alignment, bpe, media, minhash, neighbours, packing, quality, substrings, topk, toxicity, unigram, urls
 from .common import fold, table
 
 #: The rules that op10 applies: host, path prefix, verdict.
@@ -82,6 +82,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
     "op10_urls": op10_urls,
+    "op12_alignment": op12_alignment,
     "op13_topk": op13_topk,
 }
 
