@@ -29,9 +29,9 @@ CHUNK = 1 << 16
 #: Children of a node of the reduction tree.
 FAN = 8
 #: Documents and bytes of a block.
-ROWS, BYTES = 4096, 1 << 21
+ROWS, BYTES = 4096, 1 << 20
 #: Bytes that a worker remembers of units, about; a block's own come on top.
-REMEMBERED = 1 << 28
+REMEMBERED = 3 << 25
 
 _BLOCK = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
