@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, media, minhash, neighbours, packing, quality, substrings, topk, toxicity, unigram, urls
+from . import alignment, bpe, collocations, media, minhash, neighbours, packing, quality, substrings, topk, toxicity, unigram, urls
 from .common import fold, table
 
 #: The rules that op10 applies: host, path prefix, verdict.
@@ -82,6 +82,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), threshold=30, longest=4, top=2000)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
     "op10_urls": op10_urls,
+    "op11_collocations": op11_collocations,
     "op12_alignment": op12_alignment,
     "op13_topk": op13_topk,
 }
@@ -191,6 +196,35 @@ ORACLE = {
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parsed LEFT JOIN best USING (uid)
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                unnest(regexp_split_to_array(translate(coalesce(text, ''), '%s', '%s'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), grams AS (
+            SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+            FROM words, range(1, 5) AS sizes(k)
+        ), f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING a >= 30
+        ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+        ), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+        ), cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM candidates
+        ), scored AS (
+            SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, 2000000::HUGEINT * c.a // (x.a + y.a) AS score
+            FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.cut], ' ')
+                JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ), inside AS (
+            SELECT lang, s, a, unnest([array_to_string(w[i:i + s - 1], ' ') FOR i IN range(1, k - s + 2)]) AS phrase
+            FROM candidates, range(2, 4) AS sizes(s) WHERE s < k
+        ), longer AS (SELECT lang, phrase, max(a) AS a FROM inside GROUP BY lang, phrase)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, lowest.a DESC, phrase) AS rank,
+            phrase, lowest.a, l, r, n, score::BIGINT AS score
+        FROM lowest JOIN totals USING (lang) LEFT JOIN longer USING (lang, phrase)
+        WHERE longer.a IS NULL OR 100::HUGEINT * longer.a < 80::HUGEINT * lowest.a
+        QUALIFY rank <= 2000
+    """
+    % (_UPPER, _LOWER),
     "op13_topk": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings
