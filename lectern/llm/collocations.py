@@ -27,6 +27,8 @@ THRESHOLD, LONGEST, TOP = 30, 4, 2000
 BIN_BITS = 14
 #: Counters of a partition, about, and those that a task holds before it gives them on.
 COUNTERS, HELD = 1 << 19, 1 << 21
+#: Counters in a row between tasks.
+PAGE = 1024
 #: Bits of a filter's place: it has 8 MB, whatever the input.
 FILTER_BITS = 26
 #: Text of a block.
@@ -96,7 +98,8 @@ class Summary:
         wrong = np.flatnonzero(self.error)
         part = np.concatenate([self.part_of(self.hashes), wrong])
         none, zero = np.zeros(len(wrong), np.uint64), np.zeros(len(self.hashes), np.int64)
-        out = part, np.append(self.hashes, none), np.append(self.counts, np.zeros(len(wrong), np.int64)), np.append(zero, self.error[wrong])
+        counts = np.append(self.counts, np.zeros(len(wrong), np.int64))
+        out = part, np.append(self.hashes, none), counts, np.append(zero, self.error[wrong])
         self.__init__(self.edges, self.capacity)
         return out
 
@@ -223,14 +226,20 @@ def survivors(docs: DataFrame, lengths: range, mass: np.ndarray, threshold: int,
     passes(block, n) tells which of the block's n-grams enter.
     """
     edges, capacity = _partitions(mass, threshold)
-    kind = "part int, hash long, count long, error long"
+    kind = "part int, hashes binary, counts binary, error long"
 
     def rows(taken: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        """A partition's counters by PAGE in a row."""
         part, hashes, counts, error = taken
-        columns = [pa.array(part, pa.int32()), pa.array(hashes.view(np.int64)), pa.array(counts), pa.array(error)]
-        table = pa.RecordBatch.from_arrays(columns, ["part", "hash", "count", "error"])
-        for start in range(0, len(part), 1 << 16):
-            yield table.slice(start, 1 << 16)
+        bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        starts = [i for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(part)]) for i in range(a, b, PAGE)]
+        pages = [(a, min(b, a + PAGE)) for a, b in zip(starts, [*starts[1:], len(part)])]
+        for k in range(0, len(pages), 256):
+            own = pages[k : k + 256]
+            held = [pa.array([x[a:b].tobytes() for a, b in own], pa.binary()) for x in (hashes, counts)]
+            wrong = pa.array([int(error[a:b].sum()) for a, b in own], pa.int64())
+            columns = [pa.array([int(part[a]) for a, _ in own], pa.int32()), *held, wrong]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "hashes", "counts", "error"])
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Summary(edges, capacity)
@@ -247,10 +256,11 @@ def survivors(docs: DataFrame, lengths: range, mass: np.ndarray, threshold: int,
         held = Summary(edges, capacity)
         error = np.zeros(len(capacity), np.int64)
         for batch in batches:
-            part, hashes, counts, wrong = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            np.add.at(error, part, wrong)
-            real = counts > 0
-            held.add(hashes[real].view(np.uint64), counts[real])
+            np.add.at(error, batch.column("part").to_numpy(), batch.column("error").to_numpy())
+            for h, c in zip(batch.column("hashes").to_pylist(), batch.column("counts").to_pylist()):
+                hashes, counts = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)
+                real = counts > 0
+                held.add(hashes[real], counts[real])
         held.merge()
         error += held.error
         some = held.counts + error[held.part_of(held.hashes)] >= threshold
