@@ -1,9 +1,9 @@
 """Substring dedup: words covered by a window of words that also begins elsewhere.
 
 A window's least gram hash (its minimizer) depends on its words only, so equal windows have the
-same one. Neighbouring windows with one minimizer are a segment; segments with a minimizer
-that occurs once hold no repeated window. The others go to the shard of their minimizer, equal ones once, with
-their number. A shard builds a compressed FM-index of its segments and streams them through it by
+same one. Neighbouring windows with one minimizer are a segment; equal segments are counted first. A segment
+that is alone with its minimizer and stands once holds no repeated window. Different ones go to the shard of their
+minimizer, equal ones once, with their number. A shard builds a compressed FM-index of its segments and streams them through it by
 backward search; matching statistics tell the repeated windows.
 """
 
@@ -27,6 +27,8 @@ WINDOW, GRAM = 35, 8
 SHARD_WORDS = 1_000_000
 #: A minimizer with more different segments has no shard: its windows are counted one by one.
 SEGMENTS = 10_000
+#: A segment with more copies than COPIES and than one in COMMON of all is marked where texts are read, not joined.
+COPIES, COMMON = 100, 10_000
 
 _BASE = np.uint64(0xA24BAED4963EE407)
 
@@ -75,11 +77,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("key"), F.octet_length("text").alias("size"), "text").where("text <> ''")
 
 
-def segment_table(docs: DataFrame, window: int) -> DataFrame:
+def _names(mini: np.ndarray, segment: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One number for a segment, to look it up in a list of a bounded size."""
+    return mix(mini.view(np.uint64) ^ mix(segment.view(np.uint64) + n.astype(np.uint64)))
+
+
+def _listed(names: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which names are in listed, which is sorted."""
+    if not len(listed):
+        return np.zeros(len(names), bool)
+    return listed[np.minimum(np.searchsorted(listed, names), len(listed) - 1)] == names
+
+
+def segment_table(docs: DataFrame, window: int, common: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """All segments but those named in common."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column("text"))
         starts, ends, first = words_of(data, offsets)
         text, start, n, mini, digest = segments_of(span_hashes(data, starts, ends), first, window)
+        if len(common):
+            rare = ~_listed(_names(mini, digest, n), common)
+            text, start, n, mini, digest = (x[rare] for x in (text, start, n, mini, digest))
         at = pa.array(text)
         return pa.RecordBatch.from_arrays(
             [
@@ -151,27 +170,27 @@ def _counted(segments: DataFrame, window: int) -> DataFrame:
     return alone.groupBy("key", "size", "start").agg(F.bit_or(bit).alias("mask"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, size, spans): of every text with repeated windows, their first words as (start, mask)."""
+def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, np.ndarray]:
+    """(key, size, spans): of every text with repeated windows, their first words as (start, mask); and the
+    names of the segments that are too common to be listed by place, which are repeated wherever they stand.
+    """
     if not GRAM < window < GRAM + 62:
         raise ValueError("a segment's windows must fit a mask of 62 bits")
-    segments = segment_table(docs, window)
-    seen = segments.groupBy("mini").agg(
-        F.count("*").alias("total"), F.min("segment").alias("low"), F.max("segment").alias("high")
-    )
-    seen = stage(seen.where("total >= 2").select("mini", (F.col("low") == F.col("high")).alias("alike")))
-    hits = stage(segments.join(seen, "mini"))
-    different = hits.where("not alike").groupBy("mini", "segment", "n")
-    distinct = stage(
-        different.agg(F.count("*").alias("copies"), F.min(F.struct("key", "size", "start")).alias("at"))
-        .select("at.key", "at.size", "at.start", "n", "mini", "segment", "copies")
-    )
-    per_mini = stage(distinct.groupBy("mini").agg(F.count("*").alias("segments"), F.sum(F.col("n") + window - 1).alias("words")))
+    # equal segments meet on the map side; nothing is joined before they have
+    distinct = segment_table(docs, window).groupBy("mini", "segment", "n")
+    distinct = distinct.agg(F.count("*").alias("copies"), F.min(F.struct("key", "size", "start")).alias("at"))
+    distinct = stage(distinct.select("at.key", "at.size", "at.start", "n", "mini", "segment", "copies"))
+    per_mini = distinct.groupBy("mini").agg(F.count("*").alias("segments"), F.sum(F.col("n") + window - 1).alias("words"))
+    per_mini = stage(per_mini.where("segments >= 2"))
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    most = max(COPIES, total // COMMON)  # so that at most COMMON segments have more
+    found = distinct.where(F.col("copies") > most).select("mini", "segment", "n").collect()
+    column = lambda c, kind: np.array([r[c] for r in found], kind)
+    common = np.sort(_names(column("mini", np.int64), column("segment", np.int64), column("n", np.int64)))
     words = per_mini.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    many = stage(per_mini.where(F.col("segments") > SEGMENTS).select("mini", F.lit(True).alias("many")))
-    marked = distinct.join(many, "mini", "left") if not many.isEmpty() else distinct.withColumn("many", F.lit(None).cast("boolean"))
-    held = stage(_with_words(docs, marked, window).dropDuplicates(["mini", "segment", "n"]))
+    different = distinct.join(per_mini.select("mini", F.when(F.col("segments") > SEGMENTS, True).alias("many")), "mini")
+    held = stage(_with_words(docs, different, window).dropDuplicates(["mini", "segment", "n"]))
     sharded = held.where("many is null").withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
     masks = (
         sharded.select("shard", "key", "size", "start", "mini", "segment", "copies", "words")
@@ -179,14 +198,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .applyInPandas(lambda g: _search(g, window), "key long, size int, start int, mask long")
     )
     masks = stage(masks.union(_counted(held.where("many"), window)))
-    whole = F.expr("shiftleft(1L, n) - 1")
-    alike = hits.where("alike").select("key", "size", "start", whole.alias("mask"))
     # a segment that stands once has its place with its mask; one that stands twice is repeated as a whole
-    twice = distinct.where("copies >= 2").select("mini", "segment", "n")
-    others = hits.where("not alike").join(twice, ["mini", "segment", "n"])
-    others = others.select("key", "size", "start", whole.alias("mask")).union(masks)
-    spans = alike.union(others).groupBy("key", "size", "start").agg(F.max("mask").alias("mask"))
-    return spans.groupBy("key", "size").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    twice = distinct.where(F.col("copies").between(2, most)).select("mini", "segment", "n")
+    others = segment_table(docs, window, common).join(twice, ["mini", "segment", "n"])
+    spans = others.select("key", "size", "start", F.expr("shiftleft(1L, n) - 1").alias("mask")).union(masks)
+    spans = spans.groupBy("key", "size", "start").agg(F.max("mask").alias("mask"))
+    return spans.groupBy("key", "size").agg(F.collect_list(F.struct("start", "mask")).alias("spans")), common
 
 
 def covered(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.ndarray:
@@ -199,18 +216,25 @@ def covered(n: int, starts: np.ndarray, masks: np.ndarray, window: int) -> np.nd
     return np.cumsum(edges)[:n] > 0
 
 
-def _kept(batch: pa.RecordBatch, window: int):
+def _kept(batch: pa.RecordBatch, window: int, common: np.ndarray):
     """For each text of a batch: its words' bytes (begin, end), and which stay; None: no word goes."""
     data, offsets = text_bytes(batch.column("text"))
     starts, ends, first = words_of(data, offsets)
     spans = batch.column("spans")
+    text, place, whole = (np.zeros(0, np.int64),) * 3
+    if len(common):
+        text, place, n, mini, digest = segments_of(span_hashes(data, starts, ends), first, window)
+        known = _listed(_names(mini, digest, n), common)
+        text, place, whole = text[known], place[known], (1 << n[known]) - 1
+    edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
     for i in range(batch.num_rows):
-        own = slice(first[i], first[i + 1])
-        stays = None
+        own, marks = slice(first[i], first[i + 1]), slice(edges[i], edges[i + 1])
+        start, mask = place[marks], whole[marks]
         if spans[i].is_valid:
             flat = spans[i].values
-            start, mask = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "mask"))
-            stays = ~covered(first[i + 1] - first[i], start, mask, window)
+            listed = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "mask"))
+            start, mask = (np.concatenate(x) for x in zip((start, mask), listed))
+        stays = ~covered(first[i + 1] - first[i], start, mask, window) if len(start) else None
         yield data, starts[own], ends[own], stays
 
 
@@ -225,10 +249,11 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stays: np.nd
     return b" ".join([raw[a:b] for a, b in zip((starts - base).tolist(), (ends - base).tolist())])
 
 
-def _joined_to_spans(docs: DataFrame, window: int) -> DataFrame:
-    found = repeats(docs, window).select(F.col("key").alias("_key"), F.col("size").alias("_size"), "spans")
+def _joined_to_spans(docs: DataFrame, window: int) -> tuple[DataFrame, np.ndarray]:
+    found, common = repeats(docs, window)
+    found = found.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "spans")
     rows = docs.withColumns({"_k": F.xxhash64("text"), "_s": F.octet_length("text")})
-    return rows.join(found, (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_size")), "left")
+    return rows.join(found, (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_size")), "left"), common
 
 
 def digest_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -240,7 +265,7 @@ def digest_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, removed, digests = [], [], []
-        for data, starts, ends, stays in _kept(batch, window):
+        for data, starts, ends, stays in _kept(batch, window, common):
             words.append(len(starts))
             removed.append(0 if stays is None else int((~stays).sum()))
             digests.append(hashlib.sha256(_joined(data, starts, ends, stays)).hexdigest())
@@ -249,8 +274,8 @@ def digest_table(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    joined = _joined_to_spans(docs.select("doc_id", "text"), window).select("doc_id", "text", "spans")
-    return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    joined, common = _joined_to_spans(docs.select("doc_id", "text"), window)
+    return map_batches(joined.select("doc_id", "text", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,14 +287,14 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        for i, (data, starts, ends, stays) in enumerate(_kept(batch, window)):
+        for i, (data, starts, ends, stays) in enumerate(_kept(batch, window, common)):
             if stays is not None and not stays.all():
                 texts[i] = _joined(data, starts, ends, stays).decode()
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
-    joined = _joined_to_spans(rows, window).select("row", "text", "spans")
-    out = map_batches(joined, run, rows.schema)
+    joined, common = _joined_to_spans(rows, window)
+    out = map_batches(joined.select("row", "text", "spans"), run, rows.schema)
     columns = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -125,9 +125,10 @@ def substring_truth(rows, window):
     return out
 
 
-@pytest.mark.parametrize("segments", [10_000, 1])
-def test_substrings_are_brute_force(spark, monkeypatch, segments):
+@pytest.mark.parametrize("segments, copies", [(10_000, 100), (1, 100), (10_000, 1), (1, 5)])
+def test_substrings_are_brute_force(spark, monkeypatch, segments, copies):
     monkeypatch.setattr(substrings, "SEGMENTS", segments)
+    monkeypatch.setattr(substrings, "COPIES", copies)
     monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
     rows, window = corpus(), 35
     want = substring_truth(rows, window)
