@@ -48,11 +48,14 @@ def _places(spark: SparkSession, sf_dir: str, terms, lang: str) -> DataFrame:
     )
 
 
+def neighbours(text: str):
+    """Every word of a text with the next one; the last stands alone."""
+    words = F.split(text, " ")
+    return F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+
+
 def two_words(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    """Every word of every benchmark item with the next one; the last stands alone."""
-    words = F.split("text", " ")
-    pairs = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return _places(spark, sf_dir, pairs, lang)
+    return _places(spark, sf_dir, neighbours("text"), lang)
 
 
 def one_word(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,28 +171,25 @@ def conversation_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def asked_conversation(spark: SparkSession, sf_dir: str):
+    """Conversation that an event asks for: each of them in turn, and 20 that don't exist."""
+    last = table(spark, sf_dir, "conversations").agg(F.max("conv_id")).first()[0]
+    return F.col("user_id") % ((last or 0) + 21)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address requests from events; some conversations and turns do not exist."""
     return table(spark, sf_dir, "events", "event_id").select(
         F.col("event_id").alias("query_id"),
-        *_place(F.col("user_id") % 120),
+        *_place(asked_conversation(spark, sf_dir)),
         (F.col("event_id") % 9).cast("int").alias("verse"),
         (F.col("event_id") % 9 + 2).cast("int").alias("verse_end"),
     )
 
 
 def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query string per event, in six shapes: citation, chapter, digits, unknown book,
-    the first words of a conversation, one letter."""
-    words = F.split("text", " ")
-    openings = (
-        table(spark, sf_dir, "conversations")
-        .where("turn = 0")
-        .select(
-            F.col("conv_id").alias("user_id"),
-            F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("opening"),
-        )
-    )
+    """One query string per event, in six shapes: citation, chapter, digits, unknown book, a word, one letter;
+    and one for every word of every turn with the next one, whose ids are negative."""
     names = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     user, event = F.col("user_id"), F.col("event_id")
     e = (
@@ -197,20 +197,24 @@ def raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("book", user % 6 + 1)
         .withColumn("r_regionkey", ((F.col("book") - 1) % 5).cast("int"))
         .join(names, "r_regionkey")
-        .join(openings, "user_id", "left")
     )
     name = F.concat("r_name", F.lit("-"), "book", F.lit("x "))
     alias = F.concat(F.lower(F.substring("r_name", 1, 3)), "book", F.lit("X"))
     shape = event % 6
+    letter = (F.floor(event / 6) % F.length("event_type") + 1).cast("int")
     raw = (
         F.when(shape == 0, F.concat(name, user % 23 + 1, F.lit(":"), event % 7))
         .when(shape == 1, F.concat(alias, F.lit(" "), user % 9 + 1))
         .when(shape == 2, F.concat(alias, user))
         .when(shape == 3, F.concat(F.lit("Zed "), user, F.lit(":1")))
-        .when(shape == 4, F.coalesce("opening", "event_type"))
-        .otherwise(F.substring("event_type", 1, 1))
+        .when(shape == 4, F.col("event_type"))
+        .otherwise(F.substring(F.col("event_type"), letter, F.lit(1)))
+    )
+    turns = table(spark, sf_dir, "conversations", "conv_id").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("row"), F.posexplode(neighbours("text")).alias("pos", "raw")
     )
-    return e.select(event.alias("query_id"), raw.alias("raw"))
+    place = (-(F.col("row") * PLACES + F.col("pos") + 1)).alias("query_id")
+    return e.select(event.alias("query_id"), raw.alias("raw")).unionByName(turns.select(place, "raw"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:

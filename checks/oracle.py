@@ -99,10 +99,12 @@ books AS (
   FROM turns JOIN region ON (book_idx - 1) % 5 = r_regionkey GROUP BY book_idx
 )"""
 
-REQUESTS = """
+ASKED_CONV = "user_id % (SELECT max(conv_id) + 21 FROM conversations)"
+
+REQUESTS = f"""
 requests AS (
-  SELECT event_id AS query_id, CAST(user_id % 120 // 20 + 1 AS INTEGER) AS book_idx,
-    CAST(user_id % 120 % 20 + 1 AS INTEGER) AS chapter, CAST(event_id % 9 AS INTEGER) AS verse,
+  SELECT event_id AS query_id, CAST({ASKED_CONV} // 20 + 1 AS INTEGER) AS book_idx,
+    CAST({ASKED_CONV} % 20 + 1 AS INTEGER) AS chapter, CAST(event_id % 9 AS INTEGER) AS verse,
     CAST(event_id % 9 + 2 AS INTEGER) AS verse_end
   FROM events
 )"""
@@ -118,34 +120,35 @@ cites AS (
 queries AS (SELECT raw AS query_id, raw FROM cites)"""
 
 RAW_QUERIES = """
-openings AS (
-  SELECT conv_id AS user_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS opening
-  FROM conversations WHERE turn = 0
-),
 people AS (
-  SELECT event_id, e.user_id, event_type, r_name, opening, e.user_id % 6 + 1 AS book
-  FROM events e JOIN region ON (e.user_id % 6) % 5 = r_regionkey
-  LEFT JOIN openings o ON e.user_id = o.user_id
+  SELECT event_id, user_id, event_type, r_name, user_id % 6 + 1 AS book
+  FROM events JOIN region ON (user_id % 6) % 5 = r_regionkey
 ),
+turn_words AS (SELECT conv_id * 100 + turn AS row, string_split(text, ' ') AS w FROM conversations),
+turn_places AS (SELECT row, w, unnest(range(1, len(w) + 1)) AS pos FROM turn_words),
 queries AS (
   SELECT event_id AS query_id, CASE event_id % 6
     WHEN 0 THEN r_name || '-' || book || 'x ' || (user_id % 23 + 1) || ':' || (event_id % 7)
     WHEN 1 THEN lower(substr(r_name, 1, 3)) || book || 'X ' || (user_id % 9 + 1)
     WHEN 2 THEN lower(substr(r_name, 1, 3)) || book || 'X' || user_id
     WHEN 3 THEN 'Zed ' || user_id || ':1'
-    WHEN 4 THEN coalesce(opening, event_type)
-    ELSE substr(event_type, 1, 1) END AS raw
+    WHEN 4 THEN event_type
+    ELSE substr(event_type, event_id // 6 % length(event_type) + 1, 1) END AS raw
   FROM people
+  UNION ALL
+  SELECT -(row * 1000000 + pos), array_to_string(w[pos:pos + 1], ' ') FROM turn_places
 )"""
 
 GRAMMAR = "'^(.*?)([0-9]+(?::[0-9]+(?:\\s*-\\s*[0-9]+)?)?)$'"
 ADDRESS = "'^([0-9]+)(?::([0-9]+)(?:\\s*-\\s*([0-9]+))?)?$'"
 
+TRIMMED = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
+
 NAMES = f"""
 split_q AS (
-  SELECT query_id, trim(raw) AS term,
-    regexp_replace(lower(regexp_extract(trim(raw), {GRAMMAR}, 1)), '[.\\s]', '', 'g') AS name,
-    regexp_extract(trim(raw), {GRAMMAR}, 2) AS num
+  SELECT query_id, {TRIMMED} AS term,
+    regexp_replace(lower(regexp_extract({TRIMMED}, {GRAMMAR}, 1)), '[.\\s]', '', 'g') AS name,
+    regexp_extract({TRIMMED}, {GRAMMAR}, 2) AS num
   FROM queries
 ),
 aliases AS (
@@ -394,7 +397,7 @@ ORACLE: dict[str, str] = {
           AND coalesce(f.verse, 1) = c.verse
         WHERE f.kind = 'fuzzy'""",
     "chapter_context": f"""WITH {CONV_BOOKS},
-        hits AS (SELECT event_id AS query_id, user_id % 120 * 100 + event_id % 9 AS hit_row FROM events)
+        hits AS (SELECT event_id AS query_id, {ASKED_CONV} * 100 + event_id % 9 AS hit_row FROM events)
         SELECT h.query_id, h.hit_row, c.book_idx, c.chapter, c.verse, c.row_idx FROM hits h
         JOIN conv o ON h.hit_row = o.row_idx JOIN books b ON o.book_idx = b.idx
         JOIN conv c ON o.book_idx = c.book_idx AND o.chapter = c.chapter
@@ -411,13 +414,10 @@ ORACLE: dict[str, str] = {
     "pick_text": f"WITH {CONV} SELECT row_idx, coalesce(text_cn, text_en) AS text FROM conv",
     "missing_translation": f"WITH {CONV} SELECT row_idx, text_cn IS NULL AS cn_missing FROM conv",
     "highlight": f"""WITH {CONV},
-        w AS (
-          SELECT row_idx, text_en, split_part(text_en, ' ', 1) AS a, split_part(text_en, ' ', 2) AS b
-          FROM conv
-        )
-        SELECT row_idx, a || ' ' || b AS term,
-          {marked("text_en", pattern_of("a || ' ' || b"))} AS html
-        FROM w""",
+        words AS (SELECT row_idx, text_en, string_split(text_en, ' ') AS w FROM conv),
+        places AS (SELECT row_idx, text_en, w, unnest(range(len(w))) AS pos FROM words),
+        terms AS (SELECT row_idx, text_en, CAST(pos AS INTEGER) AS pos, array_to_string(w[pos + 1:pos + 2], ' ') AS term FROM places)
+        SELECT row_idx, pos, term, {marked("text_en", pattern_of("term"))} AS html FROM terms""",
     "interlinear": f"""WITH {CONV}
         SELECT row_idx, 1 AS line_no, 'en' AS line_lang, text_en AS line FROM conv
         UNION ALL
@@ -429,7 +429,7 @@ ORACLE: dict[str, str] = {
         FROM conv c JOIN books b ON c.book_idx = b.idx""",
     "select_rows": f"""WITH {CONV}
         SELECT row_idx, text_en FROM conv
-        WHERE row_idx IN (SELECT user_id % 120 * 100 + event_id % 9 FROM events)""",
+        WHERE row_idx IN (SELECT {ASKED_CONV} * 100 + event_id % 9 FROM events)""",
     "chapter_view": f"""WITH {CONV_BOOKS}, {REQUESTS}, {SIBLINGS}
         SELECT r.query_id, coalesce(b.cn, b.en) || ' ' || r.chapter AS title, c.verse, c.row_idx,
           coalesce(c.text_cn, c.text_en) AS text, prev_row, next_row

@@ -257,7 +257,7 @@ def chapter_context(spark, sf_dir):
     """Every event hits a turn; the turn's whole conversation is its context."""
     hits = inputs.table(spark, sf_dir, "events", "event_id").select(
         F.col("event_id").alias("query_id"),
-        (F.col("user_id") % 120 * 100 + F.col("event_id") % 9).alias("row_idx"),
+        (inputs.asked_conversation(spark, sf_dir) * 100 + F.col("event_id") % 9).alias("row_idx"),
     )
     return lookup.chapter_context(
         hits, inputs.conversations(spark, sf_dir), _books(spark, sf_dir)
@@ -310,11 +310,11 @@ def missing_translation(spark, sf_dir):
 
 @query
 def highlight(spark, sf_dir):
-    """Every turn with its own first two words marked."""
-    w = F.split("text_en", " ")
-    term = F.concat_ws(" ", F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit("")))
-    rows = inputs.conversations(spark, sf_dir).select("row_idx", "text_en", term.alias("term"))
-    return present.highlight(rows, "text_en", "term").select("row_idx", "term", "html")
+    """Every turn once for each of its words, that word and the next one marked."""
+    rows = inputs.conversations(spark, sf_dir).select(
+        "row_idx", "text_en", F.posexplode(inputs.neighbours("text_en")).alias("pos", "term")
+    )
+    return present.highlight(rows, "text_en", "term").select("row_idx", "pos", "term", "html")
 
 
 @query
