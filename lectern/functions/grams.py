@@ -13,6 +13,16 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
+def word_places(c: Column) -> Column:
+    """The same runs with their places: one blank between runs that one blank parts, else two.
+
+    The i-th piece between blanks is the word at place i, and an empty piece is a gap. So runs
+    at neighbouring places are exactly those that can make a phrase, and a phrase is in the
+    text if and only if it is in here.
+    """
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]{2,}|[^a-z0-9 ]", "  ")
+
+
 def ngrams(c: Column, n: int) -> Column:
     """Distinct code-point n-grams; an empty array when the text is shorter than n.
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grams import ngrams, tokens
+from ..functions.grams import ngrams, tokens, word_places
 from ..functions.text import present
 from ..staging import stage
 from .skew import ROWS_PER_SALT, heavy_threshold, salted_join
@@ -22,29 +22,73 @@ FEW_TOKENS = 100_000
 INDEX_PARTS = 64
 
 
+# Rows of a range of row numbers, about, and the most ranges there are.
+ROWS_PER_PART = 65_536
+ROW_PARTS = 4_096
+
+
 def part_of(term: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def token_postings(passages: DataFrame, text: str = "text_en", key: str = "row_idx") -> DataFrame:
+def with_row_part(
+    passages: DataFrame, rows_per_part: int = ROWS_PER_PART, key: str = "row_idx"
+) -> DataFrame:
+    """Add ``row_part``: the range of row numbers a row falls into, 0 to ROW_PARTS at most.
+
+    Ranges widen with the numbers there are, so sparse ones (hashes) don't make more ranges.
+    """
+    low, high = passages.agg(F.min(key), F.max(key)).first()
+    width = F.lit(max(rows_per_part, -(-((high or 0) - (low or 0) + 1) // (ROW_PARTS - 1))))
+    div = lambda x: F.call_function("div", x, width)
+    part = div(F.col(key)) - div(F.lit(low or 0))
+    return passages.withColumn("row_part", part.cast("int"))
+
+
+def by_row_part(rows: DataFrame, key: str = "row_idx") -> DataFrame:
+    """Write rows in folders of row ranges, sorted; a large range is cut over several files."""
+    order = ["row_part", key]
+    return stage(rows.repartitionByRange(*order).sortWithinPartitions(*order), "row_part")
+
+
+def parts_asked(store: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The row ranges of a store that pairs fall into; the others are not read.
+
+    The driver gets range numbers only, ROW_PARTS at most.
+    """
+    parts = sorted(r.row_part for r in pairs.select("row_part").distinct().collect())
+    return store.where(F.col("row_part").isin(parts))
+
+
+def token_postings(
+    passages: DataFrame, text: str = "text_en", key: str = "row_idx", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Distinct ``(tok, key)`` pairs: [a-z0-9]+ tokens of the lower-cased text."""
     toks = F.array_distinct(tokens(present(text)))
-    return passages.select(key, F.explode(toks).alias("tok")).select("tok", key)
+    return passages.select(key, *keep, F.explode(toks).alias("tok")).select("tok", key, *keep)
 
 
-def bigram_postings(passages: DataFrame, text: str = "text_cn", key: str = "row_idx") -> DataFrame:
+def token_places(
+    passages: DataFrame, text: str = "text_en", key: str = "row_idx", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Every row's tokens at their places, ``(key, places)``; rows without text have none."""
+    return passages.where(present(text).isNotNull()).select(key, *keep, word_places(F.col(text)).alias("places"))
+
+
+def bigram_postings(
+    passages: DataFrame, text: str = "text_cn", key: str = "row_idx", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Distinct ``(tok, key)`` pairs of code-point bigrams, case kept."""
     grams = ngrams(present(text), 2)
-    return passages.select(key, F.explode(grams).alias("tok")).select("tok", key)
+    return passages.select(key, *keep, F.explode(grams).alias("tok")).select("tok", key, *keep)
 
 
 def character_postings(
-    passages: DataFrame, text: str = "text_cn", key: str = "row_idx"
+    passages: DataFrame, text: str = "text_cn", key: str = "row_idx", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Distinct ``(tok, key)`` pairs of single code points: one pass over the text."""
-    return passages.select(key, F.explode(ngrams(present(text), 1)).alias("tok")).select(
-        "tok", key
-    )
+    chars = F.explode(ngrams(present(text), 1)).alias("tok")
+    return passages.select(key, *keep, chars).select("tok", key, *keep)
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
@@ -156,7 +200,7 @@ def place_postings(
     return (
         postings.join(F.broadcast(heavy), "tok", "left")
         .withColumns({"salt": salt, "part": part_of("tok", parts)})
-        .select("part", "tok", "salt", key)
+        .select("part", "tok", "salt", key, "row_part")
     )
 
 
@@ -164,18 +208,20 @@ def place_postings(
 class TokenIndex:
     """What an English search reads."""
 
-    postings: DataFrame  # part, tok, salt, row_idx
+    postings: DataFrame  # part, tok, salt, row_idx, row_part
     vocab: DataFrame  # tok, df, n_salt, part
     grams: DataFrame  # gram_part, gram, tok, df, n_salt, part
     counts: DataFrame  # gram_part, gram, n_words, n_rows
+    places: DataFrame  # row_idx, places, row_part
 
 
 @dataclass(frozen=True)
 class BigramIndex:
     """What a Chinese search reads."""
 
-    postings: DataFrame  # part, tok, salt, row_idx
+    postings: DataFrame  # part, tok, salt, row_idx, row_part
     vocab: DataFrame  # tok, df, n_salt, part
+    texts: DataFrame  # row_idx, text, row_part
 
 
 def build_token_index(
@@ -183,9 +229,11 @@ def build_token_index(
     text: str = "text_en",
     rows_per_salt: int = ROWS_PER_SALT,
     parts: int = INDEX_PARTS,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> TokenIndex:
     """Tokenise the corpus once; vocabulary and grams are derived from the written postings."""
-    postings = stage(token_postings(passages, text))
+    rows = with_row_part(passages, rows_per_part)
+    postings = stage(token_postings(rows, text, keep=("row_part",)))
     vocab = stage(place_terms(vocabulary(postings), postings.count(), rows_per_salt, parts))
     grams = stage(vocabulary_grams(vocab, parts))
     return TokenIndex(
@@ -193,6 +241,7 @@ def build_token_index(
         vocab=vocab,
         grams=grams,
         counts=stage(gram_counts(grams)),
+        places=by_row_part(token_places(rows, text, keep=("row_part",))),
     )
 
 
@@ -201,10 +250,13 @@ def build_bigram_index(
     text: str = "text_cn",
     rows_per_salt: int = ROWS_PER_SALT,
     parts: int = INDEX_PARTS,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> BigramIndex:
-    postings = stage(bigram_postings(passages, text))
+    rows = with_row_part(passages, rows_per_part)
+    postings = stage(bigram_postings(rows, text, keep=("row_part",)))
     vocab = stage(place_terms(vocabulary(postings), postings.count(), rows_per_salt, parts))
-    return BigramIndex(postings=place_postings(postings, vocab, parts), vocab=vocab)
+    texts = rows.select("row_idx", "row_part", present(text).alias("text")).where("text is not null")
+    return BigramIndex(place_postings(postings, vocab, parts), vocab, by_row_part(texts))
 
 
 # The columns each stored index table is clustered by; the first one partitions it if it is
@@ -214,6 +266,8 @@ _CLUSTER = {
     "vocab": ["tok"],
     "grams": ["gram_part", "gram", "tok"],
     "counts": ["gram"],
+    "places": ["row_part", "row_idx"],
+    "texts": ["row_part", "row_idx"],
 }
 
 

@@ -3,7 +3,8 @@
 A query is reduced to its *term*: language and parts in one string. Equal terms are searched
 once, and the hits are spread over their queries at the end. Each term is driven by its
 rarest part only: the postings of that part give the candidate rows, and the other parts are
-checked on the candidates' text. Common parts never go through a shuffle.
+checked on the candidates' words at their places (English) or their text (Chinese), of which only the
+ranges of rows with candidates are read. Common parts never go through a shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from ..sources.corpus import address_dim
 from ..staging import stage
 from .postings import (
     INDEX_PARTS,
+    ROWS_PER_PART,
     BigramIndex,
     TokenIndex,
     build_bigram_index,
     build_token_index,
     character_postings,
+    parts_asked,
     rarest_grams,
     words_holding,
 )
@@ -108,7 +111,7 @@ def segment_drivers(terms: DataFrame, index: BigramIndex) -> DataFrame:
 
 
 def candidates(drivers: DataFrame, postings: DataFrame) -> DataFrame:
-    """Distinct ``(term, row_idx)`` pairs from the drivers' postings.
+    """Distinct ``(term, row_idx, row_part)`` from the drivers' postings.
 
     Drivers are repeated once per salt of their word, so a frequent word's postings are read
     by many tasks. Drivers and pairs are written out: both meet corpus-sized tables next
@@ -118,17 +121,18 @@ def candidates(drivers: DataFrame, postings: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")
     asked = stage(drivers.select("term", "part", "tok", salts)).where("part >= 0")
     found = postings.join(asked, ["part", "tok", "salt"])
-    return stage(found.select("term", "row_idx").distinct())
+    return stage(found.select("term", "row_idx", "row_part").distinct())
 
 
-def verify(pairs: DataFrame, passages: DataFrame, text: Column, phrase: Column) -> DataFrame:
+def verify(pairs: DataFrame, store: DataFrame, text: str, phrase: Column) -> DataFrame:
     """Pairs whose text holds every part, flagged when it holds the phrase.
 
-    Text meets candidates only. The text is projected before it is used, as a lambda over a
-    column of the join's other side would not resolve.
+    ``store`` has ``row_part, row_idx`` and the text; the row ranges without pairs are not read.
+    The text is projected before it is used, as a lambda over a column of the join's other
+    side would not resolve.
     """
-    texts = passages.select("row_idx", text.alias("_text")).where("_text is not null")
-    checked = pairs.join(texts, "row_idx").select(
+    texts = parts_asked(store, pairs).select("row_part", "row_idx", F.col(text).alias("_text"))
+    checked = pairs.join(texts, ["row_part", "row_idx"]).select(
         "term",
         "row_idx",
         F.forall(_parts(), lambda p: F.contains(F.col("_text"), p)).alias("_all"),
@@ -137,23 +141,20 @@ def verify(pairs: DataFrame, passages: DataFrame, text: Column, phrase: Column)
     return checked.where("_all").drop("_all")
 
 
-def search_english(
-    passages: DataFrame, terms: DataFrame, index: TokenIndex, text: str = "text_en"
-) -> DataFrame:
-    """Hits ``(term, row_idx, is_exact)`` of English terms.
+def search_english(terms: DataFrame, index: TokenIndex) -> DataFrame:
+    """Hits ``(term, row_idx, is_exact)`` of English terms; no text is read.
 
     A token cannot cross the bounds of a word, so candidates of a one-token term are its
-    hits; only longer terms need the text.
+    hits. Longer terms are checked on the words at their places, where a phrase is a run of
+    neighbouring places: its first part ends a word, its last one begins one.
     """
     pairs = candidates(english_drivers(terms, index), index.postings)
-    one = pairs.where(_single()).withColumn("is_exact", F.lit(False))
-    more = verify(pairs.where(~_single()), passages, F.lower(present(text)), _phrase())
+    one = pairs.where(_single()).select("term", "row_idx", F.lit(False).alias("is_exact"))
+    more = verify(pairs.where(~_single()), index.places, "places", _phrase())
     return one.unionByName(more)
 
 
-def search_segments(
-    passages: DataFrame, terms: DataFrame, index: BigramIndex, text: str = "text_cn"
-) -> DataFrame:
+def search_segments(terms: DataFrame, index: BigramIndex) -> DataFrame:
     """Hits ``(term, row_idx, is_exact)`` of Chinese terms, case kept.
 
     Bigrams only prune: a segment's bigrams may all occur apart, so its text is checked.
@@ -163,11 +164,12 @@ def search_segments(
     lone = F.forall(_parts(), lambda p: F.length(p) < 2)
     by_bigram = candidates(segment_drivers(terms.where(~lone), index), index.postings)
     asked = stage(terms.where(lone).select("term", F.get(_parts(), F.lit(0)).alias("tok")))
-    by_char = stage(
-        character_postings(passages, text).join(asked, "tok").select("term", "row_idx")
-    )
+    pairs = by_bigram
+    if not asked.isEmpty():
+        chars = character_postings(index.texts, "text", keep=("row_part",))
+        pairs = pairs.unionByName(stage(chars.join(asked, "tok").select("term", "row_idx", "row_part")))
     phrase = F.replace(_phrase(), F.lit(" "), F.lit(""))
-    return verify(by_bigram.unionByName(by_char), passages, present(text), phrase)
+    return verify(pairs, index.texts, "text", phrase)
 
 
 @dataclass(frozen=True)
@@ -194,13 +196,14 @@ def index_corpus(
     text_cn: str = "text_cn",
     rows_per_salt: int = ROWS_PER_SALT,
     parts: int = INDEX_PARTS,
+    rows_per_part: int = ROWS_PER_PART,
 ) -> Corpus:
     """Build the address table and the indexes of the languages that will be searched."""
     return Corpus(
         passages,
         stage(address_dim(passages)) if addresses else None,
-        build_token_index(passages, text_en, rows_per_salt, parts) if "en" in langs else None,
-        build_bigram_index(passages, text_cn, rows_per_salt, parts) if "cn" in langs else None,
+        build_token_index(passages, text_en, rows_per_salt, parts, rows_per_part) if "en" in langs else None,
+        build_bigram_index(passages, text_cn, rows_per_salt, parts, rows_per_part) if "cn" in langs else None,
         text_en,
         text_cn,
     )
@@ -216,10 +219,10 @@ def search_terms(corpus: Corpus, terms: DataFrame) -> DataFrame:
         found = []
     if corpus.tokens:
         english = terms.where("term like 'en:%'")
-        found.append(search_english(corpus.passages, english, corpus.tokens, corpus.text_en))
+        found.append(search_english(english, corpus.tokens))
     if corpus.bigrams:
         chinese = terms.where("term like 'cn:%'")
-        found.append(search_segments(corpus.passages, chinese, corpus.bigrams, corpus.text_cn))
+        found.append(search_segments(chinese, corpus.bigrams))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -26,9 +26,11 @@ def staging_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a table that several later steps read, and go on from the written copy.
 
+    A column named by ``partition_by`` becomes folders, which readers can skip.
+
     The copy cuts the lineage, survives the loss of executors, and tells Spark its size, so
     joins with it can be planned on facts. Each application writes to its own sub-folder,
     which can be dropped once the application is done.
@@ -36,5 +38,5 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     run = f"lectern-{spark.sparkContext.applicationId}"
     path = f"{staging_dir(spark)}/{run}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

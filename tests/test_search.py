@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from lectern.operators.postings import (
     bigram_postings,
+    build_bigram_index,
     build_token_index,
     expand_vocab,
     gram_counts,
     load_bigram_index,
     load_token_index,
+    parts_asked,
     save_index,
+    token_places,
     token_postings,
     vocabulary,
     vocabulary_grams,
+    with_row_part,
 )
 from lectern.operators.search import (
     Corpus,
@@ -25,8 +29,9 @@ from lectern.operators.search import (
     page_hits,
     page_of,
     search,
+    search_english,
+    search_segments,
     search_totals,
-    verify,
 )
 from lectern.operators.skew import salted_join
 from lectern.sources.corpus import PASSAGES, save_passages_table
@@ -261,12 +266,68 @@ def test_bucketed_text_is_not_shuffled(spark, crowd, tmp_path):
     try:
         for k in keys:
             spark.conf.set(k, "-1")
-        pairs = spark.createDataFrame([("en:the spirit", 3)], "term string, row_idx long")
-        checked = verify(pairs, table, F.lower("text_en"), F.lit("the spirit"))
-        plan = checked._jdf.queryExecution().executedPlan().toString()
+        hits = spark.createDataFrame([("en:the spirit", 3)], "term string, row_idx long")
+        plan = hits.join(table, "row_idx")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
         assert ranked(search(index_corpus(table), asked, 7)) == expected(rows, asked, 7)
     finally:
         for k in keys:
             spark.conf.unset(k)
         spark.sql("DROP TABLE IF EXISTS crowd_passages")
+
+
+def test_places_hold_exactly_the_phrases_of_the_text(spark):
+    """A phrase is in the words at their places if and only if it is in the lower-cased text."""
+    rnd = random.Random(11)
+    gaps = [" ", " ", " ", "  ", "-", ", ", "\n", "é", " é ", "\u00a0", "' ", ""]
+    texts = ["".join(rnd.choice(["Ab", "b", "c1", "ÀB", "İx"]) + rnd.choice(gaps) for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    texts += [None, "", " ", "..", " a b ", "a", "-a b-"]
+    df = spark.createDataFrame([(i, 1, 1, i, t, None) for i, t in enumerate(texts)], PASSAGES)
+    lowered = {r.row_idx: r.t for r in df.select("row_idx", F.lower("text_en").alias("t")).collect()}
+    places = {r.row_idx: r.places for r in token_places(df).collect()}
+    assert set(places) == {i for i, t in enumerate(texts) if t}
+    for i, got in places.items():
+        words = re.findall("[a-z0-9]+", lowered[i])
+        assert [w for w in got.split(" ") if w] == words
+        for n in (1, 2, 3):
+            for k in range(len(words) - n + 1):
+                phrase = " ".join(words[k : k + n])
+                assert (phrase in got) == (phrase in lowered[i])
+                tail = phrase[1:].lstrip(" ")
+                assert (tail in got) == (tail in lowered[i])
+
+
+@pytest.mark.parametrize("rows_per_part", [7, 1000])
+def test_searches_over_row_ranges(crowd, rows_per_part):
+    rows, df, asked = crowd
+    found = index_corpus(df, rows_per_part=rows_per_part)
+    assert ranked(search(found, asked, 7)) == expected(rows, asked, 7)
+
+
+def test_only_ranges_with_candidates_are_read(spark):
+    rows = [(i, 1, 1, i, f"word{i % 50} common {'rare thing' if i == 777 else 'other'}", f"字{i}共") for i in range(1000)]
+    df = spark.createDataFrame(rows, PASSAGES)
+    tokens, bigrams = build_token_index(df, rows_per_part=50), build_bigram_index(df, rows_per_part=50)
+    assert tokens.places.select("row_part").distinct().count() == 20
+    pairs = spark.createDataFrame([("en:rare common", 777, 15)], "term string, row_idx long, row_part int")
+    read = lambda t: t.select(F.input_file_name()).distinct().count()
+    for store in (tokens.places, bigrams.texts):
+        asked = parts_asked(store, pairs)
+        assert asked.count() == 50 and read(asked) < read(store) / 10
+        assert re.search(r"PartitionFilters: \[[^\]]*row_part", asked._jdf.queryExecution().executedPlan().toString())
+    terms = spark.createDataFrame([("en:common rare",), ("en:rare thing",), ("en:thing rare",)], "term string")
+    hits = search_english(terms, tokens)
+    assert sorted(map(tuple, hits.collect())) == [("en:common rare", 777, True), ("en:rare thing", 777, True), ("en:thing rare", 777, False)]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "text_en" not in plan and "text_cn" not in plan
+    terms = spark.createDataFrame([("cn:字77 7共",)], "term string")
+    assert [tuple(r) for r in search_segments(terms, bigrams).collect()] == [("cn:字77 7共", 777, False)]
+
+
+def test_row_ranges_of_sparse_and_negative_numbers(spark):
+    numbers = [-(1 << 63), -5, 0, 7, (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "row_idx long")
+    parts = {r.row_idx: r.row_part for r in with_row_part(df).collect()}
+    assert len(set(parts.values())) > 2 and min(parts.values()) == 0 and max(parts.values()) <= 4096
+    assert [parts[n] for n in numbers] == sorted(parts.values())
+    assert with_row_part(df.limit(0)).collect() == []
