@@ -33,25 +33,80 @@ BOOKS = T.StructType(
 )
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, size, rec, text)``: the pieces of JSON arrays of arrays that end in ``]``, numbered in each file.
+
+    Spark cuts the files into byte ranges and at every ``]``. Whether one ends a record or stands in
+    a string depends on the quotes before it: they are summed up inside each byte range, and
+    over the ranges of a file, of which there is one row each. Only the pieces of records that
+    hold a bracket in a string meet again, record by record.
+    """
+    meta = F.col("_metadata")
+    pieces = spark.read.text(path, lineSep="]").select(
+        meta["file_path"].alias("file"),
+        meta["file_size"].alias("size"),
+        meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
+    )
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    here = W.partitionBy("file", "block").orderBy("id")
+    pieces = pieces.withColumn("quotes", F.length(bare) - F.length(F.replace(bare, F.lit('"'))))
+    pieces = pieces.withColumn("sum", F.sum("quotes").over(here.rowsBetween(W.unboundedPreceding, 0)))
+    even = F.col("sum") % 2 == 0
+    ranges = pieces.groupBy("file", "block").agg(
+        F.sum("quotes").alias("quotes"), F.count_if(even).alias("n_even"), F.count_if(~even).alias("n_odd")
+    )
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    ends = F.when(F.col("odd") == 0, F.col("n_even")).otherwise(F.col("n_odd"))
+    ranges = ranges.withColumn("ends", ends).select(
+        "file", "block", "odd", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("first")
+    )
+    placed = pieces.join(ranges, ["file", "block"]).withColumns(
+        {"ends": (F.col("odd") + F.col("sum")) % 2 == 0, "inside": (F.col("odd") + F.col("sum") - F.col("quotes")) % 2 == 1}
+    )
+    earlier = F.sum(F.col("ends").cast("long")).over(here.rowsBetween(W.unboundedPreceding, -1))
+    placed = placed.withColumn("rec", F.col("first") + F.coalesce(earlier, F.lit(0)))
+    alone = F.col("ends") & ~F.col("inside")
+    held = F.sort_array(F.collect_list(F.struct("block", "id", "value")))
+    joined = placed.where(~alone).groupBy("file", "size", "rec").agg(held.alias("held"))
+    joined = joined.select("file", "size", "rec", F.array_join(F.transform("held", lambda x: x["value"]), "]").alias("text"))
+    return placed.where(alone).select("file", "size", "rec", F.col("value").alias("text")).unionByName(joined)
+
+
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """Read ``[[book, chapter, verse, en, cn], ...]`` JSON into the passages table.
 
-    A JSON array has no split points, so each file is one task: a large corpus comes as
-    many files, whose rows are numbered on in path order. Convert once with
-    ``write_passages`` and work on the result. A file that is no such array is an error.
+    A large file is read by many tasks. Rows are numbered in the order of the array, files in path
+    order. Convert once with ``write_passages`` and work on the result. A file that is no such
+    array, or one that ends early, is an error.
     """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.from_json("value", "array<array<string>>", {"mode": "FAILFAST"}).alias("rows"),
+    records = _records(spark, path)
+    first = F.col("rec") == 0
+    opened = F.when(~first, F.col("text")).when(
+        F.col("text").rlike(r"^\s*\["), F.regexp_replace("text", r"^\s*\[", "")
+    )
+    begins = F.when(first, F.col("opened").rlike(r"^\s*\[")).otherwise(F.col("opened").rlike(r"^\s*,\s*\["))
+    no_array = lambda c: F.raise_error(F.concat(F.lit("malformed array of arrays: "), F.col(c)))
+    records = records.withColumn("opened", F.coalesce(opened, no_array("file"))).withColumn(
+        "blank", F.col("opened").rlike(r"^\s*$")
     )
-    rows = files.select("file", F.posexplode("rows").alias("pos", "r"))
+    body = F.when(begins, F.concat(F.regexp_replace("opened", r"^[\s,]+", ""), F.lit("]")))
+    rows = records.where("not blank").select(
+        "file", "rec", F.from_json(F.coalesce(body, no_array("file")), "array<string>", {"mode": "FAILFAST"}).alias("r")
+    )
+    # The outer bracket closes a blank piece; what follows it, if the file goes on, is blank as well.
+    files = records.groupBy("file", "size").agg(
+        F.count_if(~F.col("blank")).alias("n"), F.count_if("blank").alias("blanks"), F.sum(F.octet_length("text") + 1).alias("bytes")
+    )
+    whole = F.col("blanks") == F.col("bytes") - F.col("size") + 1
     # One row per file, so the window sees the file list only, never the passages.
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = files.select("file", F.size("rows").cast("long").alias("n")).select(
-        "file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-    )
-    return rows.join(offsets, "file").select(
-        (F.col("start") + F.col("pos")).alias("row_idx"),
+    offsets = files.withColumn("n", F.when(whole, F.col("n")).otherwise(no_array("file").cast("long")))
+    offsets = offsets.select("file", F.col("n").alias("own"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(offsets.where("own >= 0"), "file").select(
+        (F.col("start") + F.col("rec")).alias("row_idx"),
         F.get("r", F.lit(0)).cast("int").alias("book_idx"),
         F.get("r", F.lit(1)).cast("int").alias("chapter"),
         F.get("r", F.lit(2)).cast("int").alias("verse"),

@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from lectern.sources.corpus import read_books, read_passages, write_passages
 from lectern.sources.export import write_lines
@@ -60,3 +63,35 @@ def test_link_and_back(spark):
     hashed = df.selectExpr("concat('#', url) as url")
     assert sorted(r.q for r in queries_from_links(hashed).collect()) == sorted(texts)
     assert df.first().url == "q=John%201%3A1"
+
+
+@pytest.mark.parametrize("size", [40, 333, 1 << 20])
+def test_one_file_is_cut_into_byte_ranges(spark, tmp_path, size):
+    """Brackets, quotes and backslashes in texts, at any place of a range's border."""
+    rnd = random.Random(size)
+    odd = ["]", "[", "],[", '"', '\\"', "\\", "\\\\]", '"]', "\n", "神", " ", "a", ",", "]]", "é"]
+    rows = [[rnd.randint(1, 66), i % 9, i, "".join(rnd.choices(odd, k=rnd.randint(0, 9))), rnd.choice([None, "", "]神["])] for i in range(400)]
+    for k, text in enumerate((json.dumps(rows), json.dumps(rows, ensure_ascii=False, indent=1) + "\n", json.dumps(rows, separators=(",", ":")))):
+        (tmp_path / f"{k}.json").write_text(text, encoding="utf-8")
+        keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"]
+        for key, value in zip(keys, (str(size), "1", "1")):
+            spark.conf.set(key, value)
+        try:
+            pieces = spark.read.text(str(tmp_path / f"{k}.json"), lineSep="]")
+            assert size > 1000 or pieces.rdd.getNumPartitions() >= len(text) // (2 * size)
+            got = read_passages(spark, str(tmp_path / f"{k}.json")).orderBy("row_idx").collect()
+        finally:
+            for key in keys:
+                spark.conf.unset(key)
+        assert [tuple(r) for r in got] == [(i, *r[:3], r[3] or None, r[4] or None) for i, r in enumerate(rows)]
+
+
+def test_arrays_that_are_empty_or_broken(spark, tmp_path):
+    for text in ("[]", " [ ] \n"):
+        (tmp_path / "x.json").write_text(text)
+        assert read_passages(spark, str(tmp_path / "x.json")).collect() == []
+    record = '[1,1,1,"a","b"]'
+    for text in ("{}", record, f"[{record}", f"[{record}\n", f"[{record},", f"[{record},[1,2", f"[{record} {record}]", f'[{record},[1,1,1,"a]]', f"x[{record}]", f"[{record}]]"):
+        (tmp_path / "x.json").write_text(text)
+        with pytest.raises(Exception):  # noqa: B017
+            read_passages(spark, str(tmp_path / "x.json")).collect()
