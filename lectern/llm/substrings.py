@@ -14,11 +14,13 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.staging import stage
 
+from .collocations import Filter, filter_of
 from .common import gram_hashes, map_batches, mix, span_hashes, text_bytes, words_of
 from .fmindex import repeated_windows
 
@@ -89,15 +91,15 @@ def _listed(names: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, names), len(listed) - 1)] == names
 
 
-def segment_table(docs: DataFrame, window: int, common: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
-    """All segments but those named in common."""
+def segment_table(docs: DataFrame, window: int, common: np.ndarray = np.zeros(0, np.uint64), asked: Broadcast[Filter] | None = None) -> DataFrame:
+    """All segments but those named in common and those that are surely not asked for."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column("text"))
         starts, ends, first = words_of(data, offsets)
         text, start, n, mini, digest = segments_of(span_hashes(data, starts, ends), first, window)
-        if len(common):
-            rare = ~_listed(_names(mini, digest, n), common)
+        if asked is not None:
+            rare = asked.value(mini.view(np.uint64) ^ digest.view(np.uint64)) & ~_listed(_names(mini, digest, n), common)
             text, start, n, mini, digest = (x[rare] for x in (text, start, n, mini, digest))
         at = pa.array(text)
         return pa.RecordBatch.from_arrays(
@@ -200,7 +202,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, np.ndarra
     masks = stage(masks.union(_counted(held.where("many"), window)))
     # a segment that stands once has its place with its mask; one that stands twice is repeated as a whole
     twice = distinct.where(F.col("copies").between(2, most)).select("mini", "segment", "n")
-    others = segment_table(docs, window, common).join(twice, ["mini", "segment", "n"])
+    passes = filter_of(twice.select(F.col("mini").bitwiseXOR(F.col("segment")).alias("hash")))
+    asked = docs.sparkSession.sparkContext.broadcast(passes)  # of a fixed size; the join decides
+    others = segment_table(docs, window, common, asked).join(twice, ["mini", "segment", "n"])
     spans = others.select("key", "size", "start", F.expr("shiftleft(1L, n) - 1").alias("mask")).union(masks)
     spans = spans.groupBy("key", "size", "start").agg(F.max("mask").alias("mask"))
     return spans.groupBy("key", "size").agg(F.collect_list(F.struct("start", "mask")).alias("spans")), common
