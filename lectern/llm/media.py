@@ -51,14 +51,17 @@ def decode(data: bytes) -> np.ndarray:
     """The 8-bit samples of a Netpbm (P1 to P6) or uncompressed BMP (1, 4, 8, 24, 32 bits) image.
 
     (height, width) for bitmaps and grey, (height, width, 3) for colour. Bits become 0 and 255;
-    deeper samples are scaled to 255. Anything else raises NotAnImage.
+    deeper samples are scaled to 255. Anything else raises NotAnImage: other formats, null, sizes that the
+    bytes don't hold, samples above the largest that the header allows.
     """
+    if data is None:
+        raise NotAnImage("null")
     try:
         if re.match(rb"P[1-6]\s", data):
             return _netpbm(data)
         if data[:2] == b"BM":
             return _bmp(data)
-    except (IndexError, ValueError, struct.error) as e:
+    except (IndexError, OverflowError, ValueError, struct.error) as e:
         raise NotAnImage(str(e)) from e
     raise NotAnImage("neither Netpbm nor BMP")
 
@@ -76,21 +79,28 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise NotAnImage("size")
     depth = 3 if kind in (3, 6) else 1
     n = width * height * depth
+    stride = (width + 7) // 8
+    held = stride * height if kind == 4 else n * 2 if kind > 4 and most > 255 else n
+    if held > len(data) - at:  # before numpy reserves what no file holds
+        raise NotAnImage("too short")
     if kind == 1:
         bits = re.sub(rb"#[^\r\n]*|[^01]", b"", data[at:])[:n]
         samples = 1 - (np.frombuffer(bits, np.uint8) - 48)
     elif kind in (2, 3):
         samples = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], dtype=np.int64)
     elif kind == 4:
-        stride = (width + 7) // 8
         rows = np.frombuffer(data, np.uint8, stride * height, at + 1).reshape(height, stride)
         samples = 1 - np.unpackbits(rows, axis=1)[:, :width].ravel()
     else:
         samples = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
     if len(samples) != n:
         raise NotAnImage("too short")
-    if most != 255:
+    if kind not in (1, 4) and not 0 <= samples.min() <= samples.max() <= most:
+        raise NotAnImage("sample")
+    if kind not in (1, 4) and most != 255:
         samples = (samples.astype(np.int64) * 255 + most // 2) // most
+    elif kind in (1, 4):
+        samples = samples * 255
     samples = samples.astype(np.uint8)
     return samples.reshape((height, width, 3) if depth == 3 else (height, width))
 
@@ -102,6 +112,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if packing == 3 and (bits != 32 or struct.unpack_from("<III", data, 54) != (0xFF0000, 0xFF00, 0xFF)):
         raise NotAnImage("masks")
     tall, stride = abs(height), (width * bits + 31) // 32 * 4
+    if stride * tall > len(data) - at:
+        raise NotAnImage("too short")
     rows = np.frombuffer(data, np.uint8, stride * tall, at).reshape(tall, stride)
     rows = rows[::-1] if height > 0 else rows
     if bits >= 24:
@@ -119,18 +131,28 @@ def _bmp(data: bytes) -> np.ndarray:
 
 
 def resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the area under each target pixel, parts of pixels by their share, from an integral image."""
+    """Mean of the area under each target pixel, parts of pixels by their share, from an integral image.
+
+    Of the integral image only the rows beside the targets' edges are held.
+    """
     planes = samples if samples.ndim == 3 else samples[:, :, None]
-    sums = np.zeros((planes.shape[0] + 1, planes.shape[1] + 1, planes.shape[2]))
-    sums[1:, 1:] = planes.astype(np.float64).cumsum(0).cumsum(1)
 
-    def at(axis: int, n: int, grid: np.ndarray) -> np.ndarray:
+    def edges(axis: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         place = np.arange(n + 1) * (planes.shape[axis] / n)
         low = np.minimum(place.astype(np.int64), planes.shape[axis] - 1)
-        share = (place - low).reshape([-1 if i == axis else 1 for i in range(3)])
-        return grid.take(low, axis) * (1 - share) + grid.take(low + 1, axis) * share
-
-    grid = at(1, width, at(0, height, sums))
+        return low, (place - low).reshape([-1 if i == axis else 1 for i in range(3)])
+
+    low, share = edges(0, height)
+    rows = np.union1d(low, low + 1)
+    sums = np.zeros((len(rows), planes.shape[1] + 1, planes.shape[2]))
+    total, done = np.zeros(planes.shape[1:], np.int64), 0
+    for i, row in enumerate(rows):
+        total += planes[done:row].sum(0, dtype=np.int64)
+        sums[i, 1:], done = total.cumsum(0), row
+    at = np.searchsorted(rows, low)
+    grid = sums[at] * (1 - share) + sums[at + 1] * share
+    low, share = edges(1, width)
+    grid = grid.take(low, 1) * (1 - share) + grid.take(low + 1, 1) * share
     area = (planes.shape[0] / height) * (planes.shape[1] / width)
     out = (grid[1:, 1:] - grid[:-1, 1:] - grid[1:, :-1] + grid[:-1, :-1]) / area
     out = np.clip(np.rint(out), 0, 255).astype(np.uint8)
@@ -162,14 +184,15 @@ def npy(samples: np.ndarray) -> bytes:
 def tile_table(images: DataFrame, column: str = "media") -> DataFrame:
     """Decode an image column: height, width, channels, tile (NPY bytes) and feature, a row each.
 
-    The image column is kept in front. A null, empty, cut off or unknown image gives nulls.
+    The image column is kept in front. A null, empty, cut off or unknown image gives nulls. Repeated
+    rows are kept, an empty table gives none; other columns are not looked at.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for data in batch.column(0).to_pylist():
             try:
-                samples = decode(data or b"")
+                samples = decode(data)
                 small = tile(samples)
                 rows.append((*samples.shape[:2], samples.shape[2] if samples.ndim == 3 else 1, npy(small), difference_hash(small)))
             except NotAnImage:
@@ -193,7 +216,8 @@ def store(text: bytes, kind: str = "pgm") -> bytes:
 def text_images(docs: DataFrame, kind: str = "pgm") -> DataFrame:
     """doc_id, n_bytes and media (the image that stores the text losslessly) of each document.
 
-    A null text counts as empty; the shortest payload is one row of zeros.
+    A null text counts as empty; the shortest payload is one row of zeros. Repeated rows and ids are
+    kept, an empty table gives no rows; other columns are not looked at.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,12 +231,21 @@ def text_images(docs: DataFrame, kind: str = "pgm") -> DataFrame:
 
 
 def digest_table(images: DataFrame) -> DataFrame:
-    """What text_images stored, read back from the stored bytes: digests and features, a row each."""
+    """What text_images stored, read back from the stored bytes: digests and features, a row each.
+
+    Media that is null or no image gives nulls beside doc_id and n_bytes. Repeated rows and ids are
+    kept, an empty table gives no rows.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(7)]
         for media in batch.column("media").to_pylist():
-            samples = decode(media)
+            try:
+                samples = decode(media)
+            except NotAnImage:
+                for column in out:
+                    column.append(None)
+                continue
             payload, small = samples.tobytes(), tile(samples)
             row = (
                 len(payload),

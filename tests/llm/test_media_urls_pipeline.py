@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -28,7 +29,15 @@ def test_images_round_trip():
     assert media.decode(b"P5 1 1 65535\n\xff\xff").tolist() == [[255]]
 
 
-@pytest.mark.parametrize("data", [b"", b"P5", b"P5\n2 2\n255\nab", b"BM", b"GIF89a", b"P5 0 1 255\n", b"BM" + bytes(60)])
+BAD_HEADERS = [
+    None, b"P5 99999999999999999999 1 255\n", b"P4 99999999999999999999 1\n", b"P6 3000000000 3000000000 255\n",
+    b"P5 " + b"9" * 5000 + b" 1 255\n", b"P2 1 1 255 99999999999999999999", b"P2 1 1 9 10", b"P5 2 1 9\n\x09\x0a", b"P3 1 1 255 1 -2 3",
+    b"BM" + bytes(8) + struct.pack("<IIiiHHI", 54, 40, 2**31 - 1, -(2**31), 1, 24, 0) + bytes(40),
+    b"BM" + bytes(8) + struct.pack("<IIiiHHIIiiI", 2**32 - 1, 40, 1, 1, 1, 8, 0, 0, 0, 0, 2**32 - 1) + bytes(40),
+]
+
+
+@pytest.mark.parametrize("data", [*BAD_HEADERS, b"", b"P5", b"P5\n2 2\n255\nab", b"BM", b"GIF89a", b"P5 0 1 255\n", b"BM" + bytes(60)])
 def test_not_images(data):
     with pytest.raises(media.NotAnImage):
         media.decode(data)
@@ -38,6 +47,11 @@ def test_area_resize():
     x = np.arange(36, dtype=np.uint8).reshape(6, 6)
     want = x.reshape(3, 2, 2, 3).mean((1, 3))
     assert (media.resize(x, 3, 2) == np.rint(want)).all()
+    for shape in ((5, 7), (7, 5, 3), (1, 1), (40, 3)):
+        y = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
+        fine = y.repeat(12, 0).repeat(9, 1).astype(float)  # each target covers whole cells of it
+        cells = fine.reshape(12, shape[0], 9, shape[1], *shape[2:]).mean((1, 3))
+        assert np.abs(media.resize(y, 12, 9) - cells).max() <= 0.5 + 1e-9
     assert (media.resize(np.full((1, 64), 9, np.uint8), 8, 9) == 9).all()
     assert media.difference_hash(np.tile(np.arange(9, dtype=np.uint8), (8, 1))) == "ff" * 8
 
@@ -55,6 +69,11 @@ def test_media_columns(spark):
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
     images = spark.createDataFrame([(media.store(b"abc", "bmp"),), (None,), (b"no",)], "media binary")
     tiles = media.tile_table(images).collect()
+    broken = spark.createDataFrame([(1, 5, d) for d in BAD_HEADERS], "doc_id long, n_bytes long, media binary")
+    rows = media.digest_table(broken).collect()
+    assert len(rows) == len(BAD_HEADERS) and {tuple(r)[:2] for r in rows} == {(1, 5)} and all(set(tuple(r)[2:]) == {None} for r in rows)
+    assert media.tile_table(broken).where("feature is not null or tile is not null").isEmpty()
+    assert media.digest_table(broken.limit(0)).collect() == [] == media.tile_table(broken.limit(0)).collect()
     assert (tiles[0]["height"], tiles[0]["width"]) == (1, 64) and tiles[1]["tile"] is None and tiles[2]["feature"] is None
 
 
