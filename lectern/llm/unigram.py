@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Chunks remembered by one Python worker; beyond that it starts anew.
-REMEMBERED = 600_000
+#: Chunks remembered by one Python worker, beyond that it starts anew, and characters of such a chunk at most.
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Places whose best cuts are held, at least; further back none is looked up.
+HELD = 65_536
 #: Stands for a blank, and is put before every text.
 BLANK = "▁"
 #: What a character that is no piece costs below the lowest score.
@@ -30,14 +32,14 @@ class Counter(dict):
 
     A chunk begins at a run of blanks or is a line end. Where no piece holds a blank behind
     another character or a line end, no piece crosses chunks, so the best cuts of the chunks
-    make up the best cut of the text, ties included; sums of whole scores are exact.
+    make up the best cut of the text, ties included; sums of whole scores are exact. With other pieces
+    or scores each text is cut whole, as sums of fractions depend on what is added up before them.
     """
 
     def __init__(self, pieces: list[tuple[str, float]]):
-        if any("\n" in p or re.search(f"[^{BLANK}]{BLANK}", p) for p, _ in pieces):
-            raise ValueError("pieces that cross words need whole texts")
-        if any(score != int(score) for _, score in pieces):
-            raise ValueError("scores that aren't whole numbers need whole texts")
+        crossing = any("\n" in p or re.search(f"[^{BLANK}]{BLANK}", p) for p, _ in pieces)
+        self.whole = crossing or any(score != int(score) for _, score in pieces)
+        self.longest = max(len(p) for p, _ in pieces)
         self.matches = ahocorasick.Automaton()
         for piece, score in pieces:
             self.matches.add_word(piece, (len(piece), score))
@@ -46,6 +48,8 @@ class Counter(dict):
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
     def __missing__(self, chunk: str) -> int:
+        if len(chunk) > REMEMBERED_CHARS:
+            return self.best(chunk)
         if len(self) >= REMEMBERED:
             self.clear()
         found = self[chunk] = self.best(chunk)
@@ -53,23 +57,25 @@ class Counter(dict):
 
     def best(self, text: str) -> int:
         """The number of tokens of the best cut of text."""
-        score, count = [0.0], [0]
+        score, count, base = [0.0], [0], 0
         matches = self.matches.iter(text)
         end, found = next(matches, (len(text), None))
         for i, char in enumerate(text):
+            if i - base >= HELD + self.longest:
+                score, count, base = score[HELD:], count[HELD:], base + HELD
             most, pieces, single = None, 0, False
             while end == i:
                 length, own = found
-                start = i + 1 - length
+                start = i + 1 - length - base
                 total = score[start] + own
                 if most is None or total > most:
                     most, pieces = total, count[start] + 1
                 single = single or length == 1
                 end, found = next(matches, (len(text), None))
             if not single:
-                total = score[i] + self.unknown
+                total = score[-1] + self.unknown
                 if most is None or total > most:
-                    most, pieces = total, count[i] + len(char.encode())
+                    most, pieces = total, count[-1] + len(char.encode())
             score.append(most)
             count.append(pieces)
         return count[-1]
@@ -78,6 +84,8 @@ class Counter(dict):
         if not text:
             return 0
         marked = BLANK + text.replace(" ", BLANK)
+        if self.whole:
+            return self.best(marked)
         return sum(map(self.__getitem__, self.chunks.findall(marked)))
 
 
@@ -98,7 +106,7 @@ def count_table(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and n_tokens long of each document's whole text, a row each.
 
     A null or empty text has 0 tokens; repeated rows and ids are kept as they come; other columns
-    are not looked at. No shuffle.
+    are not looked at; an empty table gives no rows. No shuffle.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

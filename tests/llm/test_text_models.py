@@ -63,8 +63,27 @@ def test_token_counts_are_the_library(odd):
     for text in odd_texts():
         assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), text[:80]
     assert [r["n_tokens"] for r in unigram.count_table(odd, PIECES).where("doc_id = 2 or doc_id = 3").collect()] == [0] * 3
-    with pytest.raises(ValueError):
-        unigram.Counter([("a▁b", -1.0)])
+
+
+@pytest.mark.parametrize("crossing, fractions", [(True, False), (False, True), (True, True)])
+def test_token_counts_of_any_model(crossing, fractions, monkeypatch):
+    """Pieces that cross words and scores with fractions, as the library cuts them; few places held."""
+    rnd = random.Random(8)
+    made = {"".join(rnd.choice("ab▁\n" if crossing else "ab") for _ in range(rnd.randint(1, 5))) for _ in range(120)}
+    score = (lambda: -rnd.uniform(1, 9)) if fractions else (lambda: -float(rnd.randint(1, 9)))
+    pieces = [("<unk>", score())] + [(f"<0x{b:02X}>", score()) for b in range(256)] + [(p, score()) for p in sorted(made)]
+    own, library = unigram.Counter(pieces), Tokenizer(models.Unigram(pieces, 0, True))
+    library.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    monkeypatch.setattr(unigram, "HELD", 8)
+    assert own.whole
+    for n in [0, 1, 2, 7, 30, 300] * 20 + [5000]:
+        text = "".join(rnd.choice("aabb  \né") for _ in range(n))
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), text[:80]
+
+
+def test_long_chunks_are_not_remembered():
+    own = unigram.Counter([("a", -1.0), ("aa", -1.0), ("▁", -1.0)])
+    assert own.count("a" * 200_001) == 100_002 and own.count("aa") == 2 and max(map(len, own)) <= unigram.REMEMBERED_CHARS
 
 
 @pytest.mark.parametrize("n", [1, 2, 2047, 2048, 2049, 6000])
