@@ -216,3 +216,41 @@ def test_embeddings_are_brute_force(spark):
     assert sorted((str(r["vec_id"]), str(r["component_id"]), r["n_links"]) for r in neighbours.groups(odd).collect()) == [
         ("4", "4", 0), ("4", "4", 1), ("None", "4", 1),
     ]
+
+
+@pytest.mark.parametrize("linked", [40, 3000])
+def test_embeddings_through_graphs(spark, monkeypatch, linked):
+    """Shards of over 2,000 vectors, so that graphs are walked; links are rare, or one group is large."""
+    rng = np.random.default_rng(linked)
+    n = 8600 + linked
+    x = rng.normal(size=(n, 24))
+    x[8600:] = x[:40].repeat(-(-linked // 40), 0)[:linked] + 0.1 * rng.normal(size=(linked, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    walked = spark.sparkContext.accumulator(0)
+    search = Graph.search
+
+    def counted(self, queries, width):
+        walked.add(len(queries))
+        return search(self, queries, width)
+
+    monkeypatch.setattr(Graph, "search", counted)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    graph = Graph(x)
+    width = neighbours.audited(graph, x, x[::50], 0.95)
+    assert walked.value > 0 and 4 * width < n / 4
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in neighbours.groups(rows).collect()}
+    assert len(got) == n and near.sum() > linked
+    assert sum(got[i]["n_links"] for i in range(n)) >= 0.99 * near.sum()
+    assert all(got[i]["n_links"] <= c for i, c in enumerate(near.sum(1)))
+    roots = roots_of(n, zip(*(a.tolist() for a in np.nonzero(near))))
+    assert sum(got[i]["component_id"] == r for i, r in enumerate(roots)) >= 0.999 * n
+
+
+def test_planted_audit_vectors_link():
+    x = np.random.default_rng(4).normal(size=(700, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    made = neighbours.planted(x, 0.95)
+    assert len(made) >= 256 and np.allclose(np.linalg.norm(made, axis=1), 1)
+    assert ((made @ x.T).max(1) >= 0.95).all()
