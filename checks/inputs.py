@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.links import link_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
     """Read a table; one of fewer files than cores is spread by key so all cores get work.
@@ -230,3 +232,38 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(query)
     )
     return table(spark, sf_dir, "pages").select(F.concat(bare, F.lit("#"), fragment).alias("url"))
+
+
+def asked_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' links, and one for the query string of every event."""
+    asked = raw_queries(spark, sf_dir).where("query_id >= 0")
+    url = F.concat(F.lit("https://shared.example/"), F.col("query_id"), F.lit("#v=2&"), link_of("raw"))
+    return links(spark, sf_dir).unionByName(asked.select(url.alias("url")))
+
+
+# Chinese: every letter stands for a character.
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+CHARACTERS = "".join(chr(0x4E00 + 7 * i) for i in range(len(LETTERS)))
+
+
+def in_characters(text):
+    return F.translate(F.lower(text), LETTERS, CHARACTERS)
+
+
+def conversations_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose second text is the first one in characters; every third turn has none."""
+    return conversations(spark, sf_dir).withColumn(
+        "text_cn", F.when(F.col("verse") % 3 != 2, in_characters("text_en"))
+    )
+
+
+def conversation_books_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_books(spark, sf_dir).withColumns(
+        {"cn": in_characters("en"), "cnAlias": F.transform("enAlias", in_characters)}
+    )
+
+
+def raw_queries_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query strings in characters; those without letters stay as they are."""
+    return raw_queries(spark, sf_dir).withColumn("raw", in_characters("raw"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .inputs import CHARACTERS, LETTERS
+
 TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 DOC_TOKENS = f"""
@@ -190,11 +192,17 @@ candidates AS (
 )"""
 
 
-CLASSIFY = f"""{NAMES},
+KNOWN = """
 known AS (
   SELECT q.query_id, q.num, b.idx AS book_idx, b.chapters
   FROM split_q q JOIN aliases a ON q.name = a.name AND q.name <> '' JOIN books b ON a.idx = b.idx
-),
+)"""
+
+
+def classified(known: str, lang: str) -> str:
+    """CTEs up to classified; known: the CTE of queries with their book, lang: of a term."""
+    return f"""{NAMES},
+{known},
 exact AS (
   SELECT query_id, book_idx, chapters, {PARTS} FROM known WHERE contains(num, ':')
 ),
@@ -208,14 +216,17 @@ resolved AS (
 classified AS (
   SELECT q.query_id, CASE
       WHEN r.n_cand > 1 THEN 'fuzzy' WHEN r.n_cand = 1 THEN 'ref' WHEN q.term = '' THEN 'empty'
-      WHEN length(regexp_replace(q.term, '\\s+', '', 'g')) < 2 THEN 'too_short'
+      WHEN {lang} = 'en' AND length(regexp_replace(q.term, '\\s+', '', 'g')) < 2 THEN 'too_short'
       ELSE 'word' END AS kind,
     r.book_idx, r.chapter, r.verse, r.verse_end,
     CASE WHEN r.query_id IS NOT NULL THEN r.verse IS NOT NULL END AS has_verse,
-    CAST(r.cand_rank AS INTEGER) AS cand_rank, q.term, 'en' AS lang
+    CAST(r.cand_rank AS INTEGER) AS cand_rank, q.term, {lang} AS lang
   FROM split_q q LEFT JOIN resolved r ON q.query_id = r.query_id
 )"""
 
+
+CLASSIFY = classified(KNOWN, "'en'")
+
 # DuckDB's url_encode leaves . _ ~ - bare; the URI component form leaves ! ' ( ) * bare too.
 LINK = """'q=' || replace(replace(replace(replace(replace(url_encode({0}), '%21', '!'),
   '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"""
@@ -230,7 +241,8 @@ found AS (
         ELSE coalesce(b.chapters[c.chapter], 0) END)
 )"""
 
-OMNI = f"""WITH {CONV_BOOKS}, {RAW_QUERIES}, {CLASSIFY}, {CITED},
+def omni(queries: str) -> str:
+    return f"""WITH {CONV_BOOKS}, {queries}, {CLASSIFY}, {CITED},
 asked AS (SELECT DISTINCT term FROM classified WHERE kind = 'word'),
 toks AS (SELECT term, {TOKENS.format("term")} AS parts FROM asked),
 hits AS (
@@ -240,6 +252,9 @@ hits AS (
     ON len(list_filter(q.parts, lambda p: NOT contains(t.lt, p))) = 0
 )"""
 
+
+OMNI = omni(RAW_QUERIES)
+
 SIBLINGS = """
 chap AS (
   SELECT idx AS book_idx, unnest(range(1, len(chapters) + 1)) AS chapter, unnest(chapters) AS n
@@ -286,6 +301,102 @@ def _label(lang: str, row: str = "c") -> str:
     return f"{name} || ' ' || {row}.chapter || ':' || {row}.verse"
 
 
+ANSWERS = f"""
+        SELECT query_id, kind, lang, row_number() OVER (PARTITION BY query_id ORDER BY verse) AS rank,
+          row_idx, false AS is_exact, NULL AS cand_kind, {LINK.format("term")} AS link
+        FROM found WHERE kind = 'ref'
+        UNION ALL
+        SELECT query_id, kind, lang, cand_rank, row_idx, false,
+          CASE WHEN has_verse THEN 'verse' ELSE 'chapter' END, {LINK.format("term")}
+        FROM found WHERE kind = 'fuzzy'
+        UNION ALL
+        SELECT c.query_id, kind, lang, h.rank, row_idx, is_exact, NULL, {LINK.format("c.term")}
+        FROM classified c JOIN (
+          SELECT *, row_number() OVER (PARTITION BY term ORDER BY is_exact DESC, row_idx) AS rank
+          FROM hits
+        ) h ON c.term = h.term WHERE kind = 'word'"""
+
+TOTALS = f"""
+        counted AS (
+          SELECT query_id, count(*) AS total FROM found GROUP BY query_id
+          UNION ALL
+          SELECT c.query_id, count(*) FROM classified c JOIN hits h ON c.term = h.term
+          WHERE kind = 'word' GROUP BY c.query_id
+        )
+        SELECT c.query_id, kind, lang, coalesce(total, 0) AS total,
+          CASE WHEN kind <> 'empty' THEN {LINK.format("c.term")} END AS link
+        FROM classified c LEFT JOIN counted n ON c.query_id = n.query_id
+        WHERE coalesce(cand_rank, 1) = 1"""
+
+# Queries of links: the pages' and the events'
+
+LINKED = (
+    RAW_QUERIES.replace("queries AS (", "raw_queries AS (")
+    + """,
+links AS (
+  SELECT raw AS q FROM raw_queries WHERE query_id >= 0
+  UNION ALL
+  SELECT regexp_extract(url, '/([a-z]+)/', 1) || ' ' || page_id % 50 || ':1 2' FROM pages WHERE page_id % 4 <> 0
+),
+queries AS (SELECT q AS query_id, q AS raw, count(*) AS n FROM links WHERE q <> '' GROUP BY q)"""
+)
+
+# Chinese
+
+
+def in_characters(text: str) -> str:
+    return f"translate(lower({text}), '{LETTERS}', '{CHARACTERS}')"
+
+
+def lang_of(text: str) -> str:
+    return f"CASE WHEN regexp_matches({text}, '[\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]') THEN 'cn' ELSE 'en' END"
+
+
+CONV_CJK = f"""{CONV.replace("conv AS (", "conv_en AS (")},
+conv AS (
+  SELECT * REPLACE (CASE WHEN verse % 3 <> 2 THEN {in_characters("text_en")} END AS text_cn) FROM conv_en
+)"""
+CONV_BOOKS_CJK = f"""{CONV_BOOKS.replace(CONV, CONV_CJK).replace("books AS (", "books_en AS (")},
+books AS (
+  SELECT * REPLACE ({in_characters("en")} AS cn), {in_characters("alias")} AS cn_alias FROM books_en
+)"""
+RAW_QUERIES_CJK = f"""{RAW_QUERIES.replace("queries AS (", "queries_en AS (")},
+queries AS (SELECT query_id, {in_characters("raw")} AS raw FROM queries_en)"""
+
+# of the names that a query begins with the longest
+KNOWN_CJK = f"""
+names_cjk AS (SELECT cn AS alias, idx FROM books UNION ALL SELECT cn_alias, idx FROM books),
+begun AS (
+  SELECT query_id, arg_max(idx, length(alias)) AS idx, trim(substr(any_value(term), max(length(alias)) + 1)) AS num
+  FROM split_q JOIN names_cjk ON starts_with(term, alias) WHERE {lang_of("term")} = 'cn' GROUP BY query_id
+),
+known AS (
+  SELECT q.query_id, q.num, b.idx AS book_idx, b.chapters
+  FROM split_q q JOIN aliases a ON q.name = a.name AND q.name <> '' JOIN books b ON a.idx = b.idx
+  WHERE {lang_of("q.term")} = 'en'
+  UNION ALL
+  SELECT query_id, num, b.idx, b.chapters FROM begun q JOIN books b ON q.idx = b.idx
+)"""
+CLASSIFY_CJK = classified(KNOWN_CJK, lang_of("q.term"))
+
+OMNI_CJK = f"""WITH {CONV_BOOKS_CJK}, {RAW_QUERIES_CJK}, {CLASSIFY_CJK}, {CITED},
+asked AS (SELECT DISTINCT term, lang FROM classified WHERE kind = 'word'),
+toks AS (
+  SELECT term, lang, CASE WHEN lang = 'en' THEN {TOKENS.format("term")}
+    ELSE list_filter(string_split_regex(term, '\\s+'), lambda p: p <> '') END AS parts FROM asked
+),
+texts AS (
+  SELECT 'en' AS lang, row_idx, lower(text_en) AS lt FROM conv
+  UNION ALL
+  SELECT 'cn', row_idx, text_cn FROM conv WHERE text_cn IS NOT NULL
+),
+hits AS (
+  SELECT q.term, t.row_idx, len(q.parts) > 1 AND contains(t.lt,
+    CASE WHEN q.lang = 'en' THEN array_to_string(q.parts, ' ') ELSE array_to_string(q.parts, '') END) AS is_exact
+  FROM (SELECT * FROM toks WHERE len(parts) > 0) q
+  JOIN texts t ON q.lang = t.lang AND len(list_filter(q.parts, lambda p: NOT contains(t.lt, p))) = 0
+)"""
+
 ORACLE: dict[str, str] = {
     "token_postings": f"WITH {DOC_TOKENS} SELECT tok, row_idx FROM doc_tokens",
     "vocabulary": f"WITH {DOC_TOKENS} SELECT tok, count(*) AS df FROM doc_tokens GROUP BY tok",
@@ -463,29 +574,16 @@ ORACLE: dict[str, str] = {
         WHERE page_id % 4 <> 0 GROUP BY q""",
     "query_links": f"""
         SELECT item_id, {LINK.format("text")} AS link, text AS back FROM benchmark""",
-    "omni_search_rows": f"""{OMNI}
-        SELECT query_id, kind, lang, row_number() OVER (PARTITION BY query_id ORDER BY verse) AS rank,
-          row_idx, false AS is_exact, NULL AS cand_kind, {LINK.format("term")} AS link
-        FROM found WHERE kind = 'ref'
-        UNION ALL
-        SELECT query_id, kind, lang, cand_rank, row_idx, false,
-          CASE WHEN has_verse THEN 'verse' ELSE 'chapter' END, {LINK.format("term")}
-        FROM found WHERE kind = 'fuzzy'
-        UNION ALL
-        SELECT c.query_id, kind, lang, h.rank, row_idx, is_exact, NULL, {LINK.format("c.term")}
-        FROM classified c JOIN (
-          SELECT *, row_number() OVER (PARTITION BY term ORDER BY is_exact DESC, row_idx) AS rank
-          FROM hits
-        ) h ON c.term = h.term WHERE kind = 'word'""",
-    "omni_search_totals": f"""{OMNI},
-        counted AS (
-          SELECT query_id, count(*) AS total FROM found GROUP BY query_id
-          UNION ALL
-          SELECT c.query_id, count(*) FROM classified c JOIN hits h ON c.term = h.term
-          WHERE kind = 'word' GROUP BY c.query_id
-        )
-        SELECT c.query_id, kind, lang, coalesce(total, 0) AS total,
-          CASE WHEN kind <> 'empty' THEN {LINK.format("c.term")} END AS link
-        FROM classified c LEFT JOIN counted n ON c.query_id = n.query_id
-        WHERE coalesce(cand_rank, 1) = 1""",
+    "omni_search_rows": f"{OMNI} {ANSWERS}",
+    "omni_search_totals": f"{OMNI}, {TOTALS}",
+    "answer_links": f"""{omni(LINKED)}, answers AS ({ANSWERS})
+        SELECT a.query_id AS q, n, kind, lang, rank, row_idx, is_exact, cand_kind, link
+        FROM answers a JOIN queries q ON a.query_id = q.query_id""",
+    "detect_language_cjk": f"""WITH {CONV_CJK}
+        SELECT row_idx, {lang_of("text_en")} AS lang_en, {lang_of("text_cn")} AS lang_cn
+        FROM conv WHERE text_cn IS NOT NULL""",
+    "classify_queries_cjk": f"""WITH {CONV_BOOKS_CJK}, {RAW_QUERIES_CJK}, {CLASSIFY_CJK}
+        SELECT * FROM classified""",
+    "omni_search_rows_cjk": f"{OMNI_CJK} {ANSWERS}",
+    "omni_search_totals_cjk": f"{OMNI_CJK}, {TOTALS}",
 }

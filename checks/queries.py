@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import percent_decode
 from lectern.operators import citations, lookup, postings, present
 from lectern.operators import search as words
+from lectern.plans import omni
 from lectern.plans.omni import omni_search, omni_totals
 from lectern.sources import corpus, links
 from lectern.staging import stage
@@ -407,3 +408,60 @@ def omni_search_totals(spark, sf_dir):
         _conversations(spark, sf_dir, ("en",)),
         _books(spark, sf_dir),
     )
+
+
+@query
+def answer_links(spark, sf_dir):
+    """Every row that answers the query of a shared link."""
+    return omni.answer_links(
+        inputs.asked_links(spark, sf_dir),
+        _conversations(spark, sf_dir, ("en",)),
+        _books(spark, sf_dir),
+    )
+
+
+# Chinese
+
+
+def _conversations_cjk(spark, sf_dir):
+    rows = inputs.conversations_cjk(spark, sf_dir)
+    return words.index_corpus(rows, ("en", "cn"), addresses=True)
+
+
+def _books_cjk(spark, sf_dir):
+    return stage(inputs.conversation_books_cjk(spark, sf_dir))
+
+
+@query
+def detect_language_cjk(spark, sf_dir):
+    """Both texts of every turn, so both languages."""
+    rows = inputs.conversations_cjk(spark, sf_dir)
+    en = citations.detect_language(rows, "text_en", "lang_en")
+    return citations.detect_language(en, "text_cn", "lang_cn").where("text_cn is not null").select(
+        "row_idx", "lang_en", "lang_cn"
+    )
+
+
+@query
+def classify_queries_cjk(spark, sf_dir):
+    return citations.classify_queries(
+        inputs.raw_queries_cjk(spark, sf_dir), _books_cjk(spark, sf_dir)
+    )
+
+
+@query
+def omni_search_rows_cjk(spark, sf_dir):
+    return omni_search(
+        inputs.raw_queries_cjk(spark, sf_dir),
+        _conversations_cjk(spark, sf_dir),
+        _books_cjk(spark, sf_dir),
+    )
+
+
+@query
+def omni_search_totals_cjk(spark, sf_dir):
+    return omni_totals(
+        inputs.raw_queries_cjk(spark, sf_dir),
+        _conversations_cjk(spark, sf_dir),
+        _books_cjk(spark, sf_dir),
+    )
