@@ -17,7 +17,7 @@ ROWS_PER_SALT = 1_000_000
 MAX_HEAVY = 10_000
 # Largest limit for which Spark cuts a ranking window before its shuffle.
 WINDOW_LIMIT = 1_000
-# Width of the sort-key ranges a large group is cut into for ranking.
+# Rows of a range of the sort key that a table is cut into for ranking, about.
 RANK_BLOCK = 1_000_000
 
 
@@ -112,6 +112,36 @@ def salted_join(
     return joined.drop("_l", "_r")
 
 
+def order_edges(rows: DataFrame, order: str, block: int = RANK_BLOCK) -> list[int]:
+    """Lower ends of the ranges of ``order`` but the first, each range holding about ``block`` rows.
+
+    They are quantiles of the numbers there are, so hashed or sparse numbers are cut as well
+    as dense ones. A range holds one in MAX_HEAVY of all rows if that is more than ``block``,
+    so the driver gets at most MAX_HEAVY numbers.
+    """
+    total = rows.count()
+    n = -(-total // heavy_threshold(total, block))
+    if n < 2:
+        return []
+    shares = [i / n for i in range(1, n)]
+    found = rows.agg(F.percentile_approx(F.col(order).cast("long"), shares, 10 * n)).first()[0]
+    return sorted(set(found or []))
+
+
+def range_of(order: Column, edges: list[int]) -> Column:
+    """Number of the range an order falls into: how many edges are at most it, by halving."""
+    if not edges:
+        return F.lit(0)
+    # One string, made into one constant array when the query is planned.
+    ends = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>")
+    steps = [1 << i for i in reversed(range(len(edges).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(step) for step in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(ends, at + step - 1) <= order, at + step).otherwise(at),
+    )
+
+
 def rank_in_group(
     rows: DataFrame,
     group: Sequence[str],
@@ -123,12 +153,13 @@ def rank_in_group(
 ) -> DataFrame:
     """Number the rows of each group 1.. by (``first`` true before false, ``order``).
 
-    ``order`` is a non-negative integer, unique in its group. Without a small limit the rows
-    are read twice, so pass a written table (see staging.stage). With a small limit one window
+    ``order`` is an integer, unique in its group. Without a small limit the rows are read
+    three times, so pass a written table (see staging.stage). With a small limit one window
     is enough: Spark keeps only the first ``limit`` rows per group and task before the
     shuffle. Without one, a group may hold a large part of the table, so it is cut into
-    ranges of ``order``: rows are numbered inside each range, and the ranges' counts are
-    summed up to give every range its offset. No task then holds more than one range.
+    ranges of ``order`` (see order_edges): rows are numbered inside each range, and the
+    ranges' counts are summed up to give every range its offset. No task then has to hold
+    more than one range of a group.
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must be None or >= 0")
@@ -139,7 +170,7 @@ def rank_in_group(
         return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
     part = [*group, *([first] if first else []), "_block"]
-    cut = rows.withColumn("_block", F.floor(F.col(order) / block))
+    cut = rows.withColumn("_block", range_of(F.col(order), order_edges(rows, order, block)))
     inner = cut.withColumn("_n", F.row_number().over(W.partitionBy(*part).orderBy(order)))
     # The counts come from the numbered rows, so both branches share one shuffle.
     before = W.partitionBy(*group).orderBy(*head, F.col("_block")).rowsBetween(

@@ -1,7 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.skew import heavy_keys, key_counts, rank_in_group, salted_join
+from lectern.operators.skew import (
+    heavy_keys,
+    key_counts,
+    order_edges,
+    range_of,
+    rank_in_group,
+    salted_join,
+)
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +75,32 @@ def test_ranking_in_ranges_equals_one_window(spark, limit):
     assert sorted((r.q, r["rank"], r.row_idx) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("order", ["id", "xxhash64(id)", "id * id * id - 1000000", "9223372036854775807 - id * 1000000007"])
+def test_ranges_hold_a_bounded_number_of_rows(spark, order):
+    rows = spark.range(3000).select(F.expr(order).alias("row_idx"), (F.col("id") % 2).alias("q"))
+    edges = order_edges(rows, "row_idx", 100)
+    assert edges == sorted(set(edges)) and 25 <= len(edges) < 30
+    numbers = [r.row_idx for r in rows.collect()]
+    got = rows.select("row_idx", range_of(F.col("row_idx"), edges).alias("at")).collect()
+    assert all(r.at == sum(e <= r.row_idx for e in edges) for r in got)
+    held = [sum(r.at == i for r in got) for i in range(len(edges) + 1)]
+    assert max(held) <= 150 and sum(held) == len(numbers)
+    ranked = rank_in_group(rows, ["q"], "row_idx", block=100).orderBy("q", "rank").collect()
+    want = sorted((r.q, r.row_idx) for r in rows.collect())
+    assert [(r.q, r.row_idx) for r in ranked] == want
+    assert [r["rank"] for r in ranked] == [*range(1, 1501)] * 2
+
+
+def test_ranges_of_few_or_no_rows(spark, monkeypatch):
+    assert order_edges(spark.range(0), "id", 10) == order_edges(spark.range(10), "id", 10) == []
+    assert rank_in_group(spark.range(0).withColumn("q", F.lit(1)), ["q"], "id").collect() == []
+    monkeypatch.setattr("lectern.operators.skew.MAX_HEAVY", 7)
+    assert len(order_edges(spark.range(3000), "id", 10)) == 6  # the bound on ranges wins
+    same = spark.range(500).select(F.col("id").alias("q"), F.lit(5).alias("verse"))
+    assert order_edges(same, "verse", 10) == [5]
+    assert {r["rank"] for r in rank_in_group(same, ["q"], "verse", block=10).collect()} == {1}
+
+
 def test_negative_limit(spark):
     with pytest.raises(ValueError):
         rank_in_group(spark.range(1), ["id"], "id", limit=-1)
