@@ -576,6 +576,12 @@ ORACLE: dict[str, str] = {
         SELECT item_id, {LINK.format("text")} AS link, text AS back FROM benchmark""",
     "omni_search_rows": f"{OMNI} {ANSWERS}",
     "omni_search_totals": f"{OMNI}, {TOTALS}",
+    "answer_pages": f"""{OMNI}, answers AS ({ANSWERS}),
+        totals AS (SELECT query_id, count(*) AS total FROM answers WHERE kind = 'word' GROUP BY query_id)
+        SELECT a.*, 2 AS page, least(total, 40) AS shown, greatest(total - 40, 0) AS remaining, total
+        FROM answers a JOIN totals t ON a.query_id = t.query_id
+        WHERE kind = 'word' AND rank BETWEEN 21 AND 40""",
+    "answer_status": f"{OMNI}, {TOTALS}",
     "answer_links": f"""{omni(LINKED)}, answers AS ({ANSWERS})
         SELECT a.query_id AS q, n, kind, lang, rank, row_idx, is_exact, cand_kind, link
         FROM answers a JOIN queries q ON a.query_id = q.query_id""",

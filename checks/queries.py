@@ -410,6 +410,26 @@ def omni_search_totals(spark, sf_dir):
     )
 
 
+def _stored(spark, sf_dir):
+    return omni.store_answers(
+        inputs.raw_queries(spark, sf_dir),
+        _conversations(spark, sf_dir, ("en",)),
+        _books(spark, sf_dir),
+    )
+
+
+@query
+def answer_pages(spark, sf_dir):
+    """Second page of every word query, from answers stored once."""
+    return omni.answer_page(_stored(spark, sf_dir), page=2)
+
+
+@query
+def answer_status(spark, sf_dir):
+    """Status of every query, counted from the stored answers."""
+    return _stored(spark, sf_dir).status.drop("part")
+
+
 @query
 def answer_links(spark, sf_dir):
     """Every row that answers the query of a shared link."""
