@@ -124,6 +124,17 @@ def candidates(drivers: DataFrame, postings: DataFrame) -> DataFrame:
     return stage(found.select("term", "row_idx", "row_part").distinct())
 
 
+def character_candidates(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(term, row_idx, row_part)`` of the texts that hold the character ``tok`` of a term.
+
+    Characters nobody asks for are dropped where the text is read. Those asked for are code
+    points, 1,114,112 at most, which bounds their broadcast.
+    """
+    wanted = F.broadcast(asked.select("tok").distinct())
+    chars = character_postings(texts, "text", keep=("row_part",)).join(wanted, "tok", "left_semi")
+    return chars.join(asked, "tok").select("term", "row_idx", "row_part")
+
+
 def verify(pairs: DataFrame, store: DataFrame, text: str, phrase: Column) -> DataFrame:
     """Pairs whose text holds every part, flagged when it holds the phrase.
 
@@ -166,8 +177,7 @@ def search_segments(terms: DataFrame, index: BigramIndex) -> DataFrame:
     asked = stage(terms.where(lone).select("term", F.get(_parts(), F.lit(0)).alias("tok")))
     pairs = by_bigram
     if not asked.isEmpty():
-        chars = character_postings(index.texts, "text", keep=("row_part",))
-        pairs = pairs.unionByName(stage(chars.join(asked, "tok").select("term", "row_idx", "row_part")))
+        pairs = pairs.unionByName(stage(character_candidates(asked, index.texts)))
     phrase = F.replace(_phrase(), F.lit(" "), F.lit(""))
     return verify(pairs, index.texts, "text", phrase)
 

@@ -22,6 +22,7 @@ from lectern.operators.postings import (
     with_row_part,
 )
 from lectern.operators.search import (
+    character_candidates,
     Corpus,
     count_hits,
     english_drivers,
@@ -145,6 +146,25 @@ def test_random_corpus_with_hot_words_and_hot_queries(crowd):
     assert got == expected(rows, asked)
 
 
+def test_characters_not_asked_for_are_not_shuffled(spark):
+    texts = spark.createDataFrame([(1, "神爱世", 0), (2, "爱爱", 0), (3, "", 1), (4, "人", 1)], "row_idx long, text string, row_part int")
+    asked = spark.createDataFrame([("cn:爱", "爱"), ("cn:爱 神", "爱"), ("cn:空", "空")], "term string, tok string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = character_candidates(asked, texts)
+        lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == [("cn:爱", 1, 0), ("cn:爱", 2, 0), ("cn:爱 神", 1, 0), ("cn:爱 神", 2, 0)]
+    at = {name: min(i for i, line in enumerate(lines) if name in line) for name in ("Exchange hashpartitioning(tok", "LeftSemi", "Generate explode")}
+    # from the top: shuffle, then the semi-join, then the text's characters below it
+    assert at["Exchange hashpartitioning(tok"] < at["LeftSemi"] < at["Generate explode"]
+    assert not any("Exchange" in line for line in lines[at["LeftSemi"] : at["Generate explode"]])
+
+
 def test_saved_index_answers_alike(spark, crowd, tmp_path):
     rows, df, asked = crowd
     found = index_corpus(df, rows_per_salt=20)
