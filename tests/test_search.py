@@ -341,7 +341,8 @@ def test_only_ranges_with_candidates_are_read(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "text_en" not in plan and "text_cn" not in plan
     terms = spark.createDataFrame([("cn:字77 7共",)], "term string")
-    assert [tuple(r) for r in search_segments(terms, bigrams).collect()] == [("cn:字77 7共", 777, False)]
+    found = {(r.row_idx, r.is_exact) for r in search_segments(terms, bigrams).collect()}
+    assert found == set(scan(rows, "字77 7共", "cn")) == {(777, True), (77, False)}
 
 
 def test_row_ranges_of_sparse_and_negative_numbers(spark):
