@@ -140,6 +140,38 @@ def test_thresholds_do_not_follow_the_sample(spark, monkeypatch):
         assert toxicity.keep_clean(clean, model).count() == clean.count()
 
 
+def test_every_labelled_row_trains(spark, monkeypatch):
+    """Each toxic word stands in ten labelled rows only; a sample of each class would miss most of them."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 600)
+    monkeypatch.setattr(toxicity, "LEAST_SHARE", 0.001)
+    texts = [f"so {i // 4 % 50:02d}vil" if i % 4 == 0 else f"so fine {i % 7}" for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    found = toxicity.score_table(docs, toxicity.fit(docs, labels)).where("score >= 0.5")
+    assert {r["doc_id"] for r in found.collect()} == set(range(0, 2000, 4))
+
+
+def test_repeated_rows_train_with_their_number(spark):
+    """Equal rows meet in a batch and in a shard; what they weigh doesn't change with how they are dealt."""
+    rows = [(i % 40, f"text {i % 40} {'vile' if i % 40 < 9 else 'fine'}", None if i % 3 else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 9)) for i in range(40)] * 2, "doc_id long, toxic int")
+    models = [toxicity.fit(docs.repartition(n), labels) for n in (1, 3)]
+    assert (models[0].embedding == models[1].embedding).all() and models[0].thresholds == models[1].thresholds
+
+
+def test_scores_do_not_follow_the_neighbours(spark):
+    labels = [(i, int(i % 3 == 0)) for i in range(90)]
+    docs = [(i, "so vile" if c else "so fine", "en") for i, c in labels]
+    docs = spark.createDataFrame(docs + [(90, "", "en"), (91, "vile", "en")], "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = ["so fine", "vile", "", "so vile", "so fine", ""]
+    together = model.scores(*toxicity.buckets_of(*text_bytes(pa.array(texts))))
+    alone = [model.scores(*toxicity.buckets_of(*text_bytes(pa.array([t]))))[0] for t in texts]
+    assert abs(together - alone).max() < 1e-6
+
+
 def test_long_labelled_texts_train(spark, monkeypatch):
     """All toxic texts are long, with the telling word last; a text repeats, and a bound on words ends the sample."""
     monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 30)
