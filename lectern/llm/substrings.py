@@ -1,15 +1,16 @@
 """Substring dedup: words covered by a window of words that also begins elsewhere.
 
 A window's least gram hash (its minimizer) depends on its words only, so equal windows have the
-same one. Neighbouring windows with one minimizer are a segment; equal segments are counted first. A segment
-that is alone with its minimizer and stands once holds no repeated window. Different ones go to the shard of their
-minimizer, equal ones once, with their number. A shard builds a compressed FM-index of its segments and streams them through it by
+same one. Neighbouring windows with one minimizer are a segment. A segment that is alone with its minimizer and
+stands once holds no repeated window, so minimizers are counted first, and a filter lets through the segments of those that
+stand twice. Equal ones are counted; different ones go to the shard of their minimizer, equal ones once, with their number. A shard builds a compressed FM-index of its segments and streams them through it by
 backward search; matching statistics tell the repeated windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.staging import stage
 
 from .collocations import Filter, filter_of
-from .common import gram_hashes, map_batches, mix, span_hashes, text_bytes, words_of
+from .common import gram_hashes, map_batches, mix, slices, span_hashes, text_bytes, words_of
 from .fmindex import repeated_windows
 
 WINDOW, GRAM = 35, 8
@@ -91,13 +92,22 @@ def _listed(names: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, names), len(listed) - 1)] == names
 
 
-def segment_table(docs: DataFrame, window: int, common: np.ndarray = np.zeros(0, np.uint64), asked: Broadcast[Filter] | None = None) -> DataFrame:
-    """All segments but those named in common and those that are surely not asked for."""
+def segment_table(
+    docs: DataFrame,
+    window: int,
+    common: np.ndarray = np.zeros(0, np.uint64),
+    asked: Broadcast[Filter] | None = None,
+    minis: Broadcast[Filter] | None = None,
+) -> DataFrame:
+    """All segments but those named in common and those that, or whose minimizers, are surely not asked for."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column("text"))
         starts, ends, first = words_of(data, offsets)
         text, start, n, mini, digest = segments_of(span_hashes(data, starts, ends), first, window)
+        if minis is not None:
+            held = minis.value(mini.view(np.uint64))
+            text, start, n, mini, digest = (x[held] for x in (text, start, n, mini, digest))
         if asked is not None:
             rare = asked.value(mini.view(np.uint64) ^ digest.view(np.uint64)) & ~_listed(_names(mini, digest, n), common)
             text, start, n, mini, digest = (x[rare] for x in (text, start, n, mini, digest))
@@ -119,8 +129,8 @@ def segment_table(docs: DataFrame, window: int, common: np.ndarray = np.zeros(0,
 
 
 def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (key, size, start, n, ...) with the segment's word hashes, read from the texts again, once
-    for each row of wanted and text of that key."""
+    """wanted (key, size, start, n, ...) with the segment's word hashes, read from the texts again, for each row
+    of wanted; texts of one key are read once a task."""
     rest = [c for c in wanted.columns if c not in ("key", "size")]
     lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct(*rest)).alias("wanted"))
     texts = keyed(docs).join(lists, ["key", "size"]).select("text", "wanted", "key", "size")
@@ -140,11 +150,19 @@ def _with_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         arrays += [flat.field(c) for c in rest] + [pa.array(held, pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, ["key", "size", *rest, "words"])
 
-    return map_batches(texts, run, kinds + ", words binary")
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keys = list(zip(batch.column("key").to_pylist(), batch.column("size").to_pylist()))
+            first = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            if first:
+                yield from map(run, slices(batch.take(pa.array(first))))
+
+    return texts.mapInArrow(once, kinds + ", words binary")
 
 
 def _search(group: pd.DataFrame, window: int) -> pd.DataFrame:
-    group = group.sort_values(["mini", "segment"], ignore_index=True)
+    group = group.drop_duplicates(["mini", "segment", "n"]).sort_values(["mini", "segment"], ignore_index=True)
     rows = [np.frombuffer(w, "<u8") for w in group["words"]]
     group["mask"] = repeated_windows(rows, group["copies"].to_numpy(), window)
     return group.loc[(group["mask"] != 0) & (group["copies"] == 1), ["key", "size", "start", "mask"]]
@@ -178,8 +196,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, np.ndarra
     """
     if not GRAM < window < GRAM + 62:
         raise ValueError("a segment's windows must fit a mask of 62 bits")
+    per_mini = segment_table(docs, window).groupBy("mini").agg(F.count("*").alias("n")).where("n >= 2")
+    minis = docs.sparkSession.sparkContext.broadcast(filter_of(per_mini.select(F.col("mini").alias("hash"))))  # as asked below
     # equal segments meet on the map side; nothing is joined before they have
-    distinct = segment_table(docs, window).groupBy("mini", "segment", "n")
+    distinct = segment_table(docs, window, minis=minis).groupBy("mini", "segment", "n")
     distinct = distinct.agg(F.count("*").alias("copies"), F.min(F.struct("key", "size", "start")).alias("at"))
     distinct = stage(distinct.select("at.key", "at.size", "at.start", "n", "mini", "segment", "copies"))
     per_mini = distinct.groupBy("mini").agg(F.count("*").alias("segments"), F.sum(F.col("n") + window - 1).alias("words"))
@@ -192,14 +212,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, np.ndarra
     words = per_mini.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     different = distinct.join(per_mini.select("mini", F.when(F.col("segments") > SEGMENTS, True).alias("many")), "mini")
-    held = stage(_with_words(docs, different, window).dropDuplicates(["mini", "segment", "n"]))
-    sharded = held.where("many is null").withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
+    different = different.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
     masks = (
-        sharded.select("shard", "key", "size", "start", "mini", "segment", "copies", "words")
+        _with_words(docs, different.where("many is null").drop("many"), window)
+        .select("shard", "key", "size", "start", "n", "mini", "segment", "copies", "words")
         .groupBy("shard")
         .applyInPandas(lambda g: _search(g, window), "key long, size int, start int, mask long")
     )
-    masks = stage(masks.union(_counted(held.where("many"), window)))
+    if not per_mini.where(F.col("segments") > SEGMENTS).isEmpty():
+        many = _with_words(docs, different.where("many").drop("many", "shard"), window)
+        masks = masks.union(_counted(stage(many.dropDuplicates(["mini", "segment", "n"])), window))
+    masks = stage(masks)
     # a segment that stands once has its place with its mask; one that stands twice is repeated as a whole
     twice = distinct.where(F.col("copies").between(2, most)).select("mini", "segment", "n")
     passes = filter_of(twice.select(F.col("mini").bitwiseXOR(F.col("segment")).alias("hash")))
