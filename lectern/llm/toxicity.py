@@ -34,6 +34,8 @@ DIMENSIONS = 16
 EPOCHS = 12
 #: Rows and bytes of text of a shard, about; a text is in it whole.
 SHARD_ROWS, SHARD_BYTES = 4000, 1 << 24
+#: Labelled rows up to which texts are found by a broadcast of them.
+BROADCAST_ROWS = 1_000_000
 #: One in so many labelled rows calibrates the thresholds.
 CALIBRATE = 5
 #: Numbers in a row between tasks, when parameters are averaged.
@@ -282,20 +284,19 @@ def shard_of(parts: Iterable[tuple[np.ndarray, np.ndarray]], labels, copies, lan
 
 @dataclass
 class State:
-    """What training changes: parameters, their moments, and the number of steps."""
+    """What an epoch hands on: parameters, second moments, and the number of steps."""
 
     p: dict[str, np.ndarray]
-    m: dict[str, np.ndarray]
     v: dict[str, np.ndarray]
     step: float = 0.0
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for d in (self.p, self.m, self.v) for x in d.values()] + [[self.step]])
+        return np.concatenate([x.ravel() for d in (self.p, self.v) for x in d.values()] + [[self.step]])
 
     def filled(self, vector: np.ndarray) -> State:
         """A state of this shape with the numbers of a vector."""
         at, out = 0, []
-        for d in (self.p, self.m, self.v):
+        for d in (self.p, self.v):
             out.append({})
             for name, x in d.items():
                 out[-1][name] = vector[at : at + x.size].reshape(x.shape).astype(np.float32)
@@ -323,13 +324,13 @@ def begin(model: Model, seen: np.ndarray, sizes: np.ndarray, seed: int) -> State
         p[f"b{w}"] = np.zeros(FILTERS)
     p["w"], p["c"] = rng.normal(0, 0.3, FILTERS * len(WIDTHS)), np.zeros(1)
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    return State(p, *({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)))
+    return State(p, {k: np.zeros_like(v) for k, v in p.items()})
 
 
 def train_epoch(state: State, rows: np.ndarray, shard: Shard, weights: np.ndarray, epoch: int, seed) -> State:
     """One pass over a shard, from a state that stays as it is; weights: of a row of class 0 and 1."""
-    p, m, v = ({k: x.copy() for k, x in d.items()} for d in (state.p, state.m, state.v))
-    step = state.step
+    p, v = ({k: x.copy() for k, x in d.items()} for d in (state.p, state.v))
+    m, step, own_step = {k: np.zeros_like(x) for k, x in p.items()}, state.step, 0  # first moments forget within ten steps
     rate = 0.01 * (1 - epoch / EPOCHS) + 0.001
     table = np.concatenate([rows[shard.buckets], np.zeros((1, 1 + len(BEGINNINGS)), np.int32)])  # the last is a pad
     weight = weights[shard.labels] * shard.copies
@@ -339,13 +340,13 @@ def train_epoch(state: State, rows: np.ndarray, shard: Shard, weights: np.ndarra
         padded = np.full(len(words) + _PADS * len(own), len(table) - 1, np.int32)
         padded[np.arange(len(words)) + _PADS * np.repeat(np.arange(len(own)), np.diff(first))] = words
         grads = _gradients(p, table, padded, begins, _pads(first), shard.labels[own], weight[own])
-        step += 1
+        step, own_step = step + 1, own_step + 1
         for k, g in grads.items():
             m[k] += 0.1 * (g - m[k])
             v[k] += 0.001 * (g * g - v[k])
-            p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            p[k] -= (rate * (m[k] / (1 - 0.9**own_step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         p["e"][0] = 0
-    return State(p, m, v, step)
+    return State(p, v, step)
 
 
 def finish(model: Model, state: State, positives: int, negatives: int) -> None:
@@ -495,8 +496,10 @@ def labelled(docs: DataFrame, labels: DataFrame, seed: int = 1) -> tuple[DataFra
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold("doc_id", FOLDS) != HELD_OUT)
     known = known.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("copies"))
     held = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(CALIBRATE)) == 0
-    rows = docs.select("doc_id", "text", "lang").join(known, "doc_id")
-    return known, rows.select("doc_id", "text", "lang", "toxic", "copies", held.alias("held"))
+    known = stage(known.withColumn("held", held))
+    few = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known  # of more Spark decides
+    rows = docs.select("doc_id", "text", "lang", F.octet_length("text").alias("size")).join(few, "doc_id")
+    return known, rows.select("doc_id", "text", "lang", "toxic", "copies", "held", "size")
 
 
 _KEY = ["held", "shard", "doc_id", "toxic", "lang", "text"]
@@ -538,10 +541,11 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _averaged(key: tuple, pages: pa.Table) -> pa.Table:
-    """The mean of the tasks' pages, each by its weight; in an order that doesn't depend on the tasks'."""
-    rows = sorted(zip(pages.column("shard").to_pylist(), pages.column("weight").to_pylist(), pages.column("numbers").to_pylist()))
-    total = sum(weight for _, weight, _ in rows)
-    mean = sum(np.frombuffer(numbers, np.float32).astype(np.float64) * weight for _, weight, numbers in rows) / total
+    """The mean of the tasks' pages, each by its weight."""
+    weights, total = pages.column("weight").to_pylist(), 0
+    for weight, numbers in zip(weights, pages.column("numbers")):
+        total = total + np.frombuffer(numbers.as_buffer(), np.float32).astype(np.float64) * weight
+    mean = total / sum(weights)
     return pa.table({"page": pa.array([key[0].as_py()], pa.int64()), "numbers": pa.array([mean.tobytes()], pa.binary())})
 
 
@@ -551,14 +555,17 @@ def epoch_of_all(shards: DataFrame, state: State, rows: np.ndarray, weights: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, rows = sent.value
+        total, weight = np.zeros(len(state.vector())), 0.0
         for number, shard in _shards(batches):
-            own = train_epoch(state, rows, shard, weights, epoch, [seed, epoch, number]).vector().astype(np.float32)
+            total += train_epoch(state, rows, shard, weights, epoch, [seed, epoch, number]).vector() * len(shard)
+            weight += len(shard)
+        if weight:
+            own = (total / weight).astype(np.float32)
             pages = [own[i : i + PAGE].tobytes() for i in range(0, len(own), PAGE)]
-            columns = [pa.array(range(len(pages)), pa.int64()), pa.array([number] * len(pages), pa.int64())]
-            columns += [pa.array([float(len(shard))] * len(pages)), pa.array(pages, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["page", "shard", "weight", "numbers"])
+            columns = [pa.array(range(len(pages)), pa.int64()), pa.array([weight] * len(pages)), pa.array(pages, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["page", "weight", "numbers"])
 
-    trained = shards.mapInArrow(run, "page long, shard long, weight double, numbers binary")
+    trained = shards.mapInArrow(run, "page long, weight double, numbers binary")
     pages = trained.groupBy("page").applyInArrow(_averaged, "page long, numbers binary").collect()  # one state, cut up
     sent.unpersist()
     return state.filled(np.concatenate([np.frombuffer(r["numbers"], np.float64) for r in sorted(pages, key=lambda r: r["page"])]))
@@ -601,7 +608,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 1) -> Model:
     negatives, positives = counts.get(0, 0), counts.get(1, 0)
     total = positives + negatives
     model = Model(base=positives / total if total else 0.0)
-    size = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")
+    size = F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")
     found = rows.groupBy("held", "toxic").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("n"), size).collect()
     if len({r["toxic"] for r in found}) < 2:
         return model
