@@ -1,7 +1,10 @@
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lectern.operators import blocks
 from lectern.operators import search as words
 from lectern.operators.search import hit_lists, index_corpus, ranked_runs, search, search_totals
 from lectern.sources.corpus import PASSAGES
@@ -50,3 +53,37 @@ def test_repeated_and_null_row_numbers(spark):
     got = sorted(((r.query_id, r["rank"], r.row_idx, r.is_exact) for r in search(found, queries, None).collect()))
     assert got == [(1, 1, None, False), (1, 2, 0, False), (1, 3, 1, False), (2, 1, 1, True), (2, 2, 0, False), (2, 3, 1, False)]
     assert {r.query_id: r.total for r in search_totals(found, queries).collect()} == {1: 3, 2: 3}
+
+
+def _holding(words_, tokens):
+    """Token, word and edge by looking at every place."""
+    found = {}
+    for t, token in enumerate(tokens):
+        for w, word in enumerate(words_):
+            at = [i for i in range(len(word)) if word.startswith(token, i)]
+            if at:
+                found[t, w] = (0 in at) + 2 * (len(word) - len(token) in at)
+    return [(*k, e) for k, e in sorted(found.items())]
+
+
+def test_tokens_in_words_as_by_brute_force(monkeypatch):
+    """Also where a step ends inside a word, and where characters lie beyond 16 bits."""
+    rng = random.Random(3)
+    letters = "ab一二\U0001F600-"
+    for step in (8, 64, 1 << 22):
+        monkeypatch.setattr(blocks, "_STEP", step)
+        for _ in range(20):
+            held = list({"".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(rng.randint(0, 12))})
+            asked = list({"".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(rng.randint(0, 30))})
+            assert list(zip(*(x.tolist() for x in blocks._held(held, asked)))) == _holding(held, asked)
+
+
+def test_texts_without_blanks_are_not_gone_through_in_python():
+    """Thousands of tokens of thirty lengths in one long word (before: a look-up for each place and length)."""
+    rng = random.Random(4)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(500_000))
+    asked = sorted({text[i : i + rng.randint(1, 30)] for i in range(0, 400_000, 100)})
+    start = time.process_time()
+    found = blocks.Words(blocks.pa.array([text, "x"]), asked)
+    assert time.process_time() - start < 4
+    assert found.bitmaps() == [1] * len(asked) and np.diff(found.begin).tolist() == [1] * len(asked)
