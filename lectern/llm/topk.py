@@ -24,6 +24,10 @@ from .mtree import Node, Tree, build, distances, lift, search
 SHARD_ROWS = 8192
 #: Pivots at most; they and their radii are sent to every task.
 PIVOTS = 1024
+#: Rows that a batch of routes has, about; a query's own stay together.
+ROUTED = 16_384
+#: Pages that are written, and read again, at once.
+PAGES_HELD = 64
 
 _PAGES = "shard int, kind int, node int, uid long, id long, floor double, top double, radius double, x binary, parent binary, radii binary, children binary, ids binary"
 _LONG = (1 << 63) - 1
@@ -129,11 +133,15 @@ def _ask(pages: DataFrame, routed: DataFrame, k: int, dim: int, shards: int) ->
 
 
 def _routes(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, top: float) -> DataFrame:
-    """(uid, id, x, floor, home, pivot) for every pivot that may hold a score of floor or more."""
+    """(uid, id, x, floor, home, pivot) for every pivot that may hold a score of floor or more.
+
+    A query can have as many rows as there are pivots, so batches are cut by what they may become.
+    """
     lifts, dim = lift(pivots, top), pivots.shape[1]
+    most = max(ROUTED // len(pivots), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, most) for b in batches for at in range(0, b.num_rows, most)):
             rows, pivot = [], []
             for i, (x, floor) in enumerate(zip(batch.column("x").to_pylist(), batch.column("floor").to_pylist())):
                 q = _matrix([x], dim)[0]
@@ -177,10 +185,11 @@ def top_k(df: DataFrame, asked: Column, k: int = 5, scale: int = 256, id_col: st
         radii[r["pivot"]], parts[r["pivot"]] = r["radius"], -(-r["n"] // SHARD_ROWS)
     first = np.concatenate([[0], np.cumsum(parts)])
     shards = int(first[-1])
-    spots = spark.createDataFrame([(p, int(first[p]), int(parts[p])) for p in range(len(parts)) if parts[p]], "pivot int, first int, parts int")
+    # at most PIVOTS rows; its size isn't known to Spark, which would shuffle all vectors by pivot
+    spots = F.broadcast(spark.createDataFrame([(p, int(first[p]), int(parts[p])) for p in range(len(parts)) if parts[p]], "pivot int, first int, parts int"))
     shard = lambda n: (F.col("first") + F.pmod(F.xxhash64(n), "parts")).cast("int")
     rows = placed.join(spots, "pivot").select(shard("n").alias("shard"), "id", "x")
-    pages = stage(rows.groupBy("shard").applyInPandas(lambda g: _pages(g, top, dim), _PAGES))
+    pages = stage(rows.groupBy("shard").applyInPandas(lambda g: _pages(g, top, dim), _PAGES), rows_held=PAGES_HELD)
     # the first round asks one shard of the nearest pivot
     homes = stage(_placed(asking, pivots, top).join(spots, "pivot").withColumn("home", shard("uid")).drop("first", "parts", "pivot", "far"))
     near = stage(_ask(pages, homes.withColumn("shard", F.col("home")), k, dim, shards))

@@ -1,6 +1,7 @@
 """Exact top-k through M-trees against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,24 @@ def test_large_components_stay_exact(spark):
     big = float(1 << 20)  # products pass 2**53
     rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 1.0 + 1 / 256]), (3, [-big, 5.0])]
     assert found(spark, rows) == brute(rows)
+
+
+class Batches:
+    """What _routes asks of a table: the function that it maps."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_routes_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(topk, "ROUTED", 64)
+    pivots = np.random.default_rng(5).normal(size=(16, 3))
+    batch = pa.RecordBatch.from_pydict(
+        {"uid": range(500), "id": range(500), "x": [np.zeros(3).tobytes()] * 500, "floor": pa.array([None] * 500, pa.float64()), "home": [0] * 500}
+    )
+    routed = list(topk._routes(Batches(), pivots, np.ones(16), 9.0)(iter([batch])))
+    assert [u for b in routed for u in b.column("uid").to_pylist()] == [u for u in range(500) for _ in range(16)]  # without a floor every pivot is asked
+    assert max(b.num_rows for b in routed) <= 64

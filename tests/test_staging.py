@@ -46,3 +46,12 @@ def test_a_staged_table_keeps_rows_and_types(spark):
     assert copy.collect() == df.collect()
     assert copy.dtypes == df.dtypes
     assert spark.sparkContext.applicationId in copy.inputFiles()[0]
+
+
+def test_large_rows_are_held_a_few_at_once(spark):
+    from pyarrow import parquet
+
+    copy = staging.stage(spark.range(0, 100, 1, 1), rows_held=8)
+    assert sorted(r.id for r in copy.collect()) == list(range(100))
+    [file] = copy.inputFiles()
+    assert parquet.ParquetFile(file.removeprefix("file://")).num_row_groups == 13
