@@ -5,9 +5,10 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lectern.llm import minhash, neighbours, substrings
+from lectern.llm import hnsw, minhash, neighbours, substrings
 from lectern.llm.components import components
 from lectern.llm.fmindex import repeated_windows
 from lectern.llm.hnsw import Graph
@@ -266,3 +267,38 @@ def test_segments_that_stand_once_are_not_written(spark, monkeypatch):
     removed = {r["doc_id"]: r["n_removed"] for r in substrings.digest_table(docs).collect()}
     assert {d: n for d, n in removed.items() if n} == {3: 60, 7: 60}
     assert sum(df.count() for df in written) < substrings.segment_table(docs, substrings.WINDOW).count() / 4
+
+
+def test_wide_beams_are_searched_a_few_at_once(monkeypatch):
+    """All vectors are near each other, so beams widen until they hold all; what is held at once stays bounded."""
+    x = np.random.default_rng(6).normal(size=(1, 16)) + 0.02 * np.random.default_rng(7).normal(size=(900, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Graph(x)
+    monkeypatch.setattr(hnsw, "BEAMS", 1 << 12)
+    monkeypatch.setattr(hnsw, "SCANNED", 1 << 14)
+    at, q, node = zip(*graph.within(x.astype(np.float32), 0.95, 48))
+    assert sum(map(len, q)) == 900 * 900
+    assert max(map(len, q)) <= 1 << 14
+
+
+def test_a_graph_comes_in_pieces_and_queries_stream_after_it(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    asked = x + 0.05 * rng.normal(size=x.shape).astype(np.float32)
+    monkeypatch.setattr(neighbours, "PIECE", 1000)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "MEASURED", 100)
+    single, double = pa.list_(pa.float32()), pa.list_(pa.float64())
+    lists = lambda v: {"whole": pa.array(v.tolist(), single), "exact": pa.nulls(len(v), double)}
+    same = {"dim": pa.array([8] * 500, pa.int32()), "shard": [3] * 500, "node": range(500)}
+    built = neighbours._build(pa.table({**same, "rank": range(500), "copies": [1] * 500, **lists(x)}), 0.95)
+    pieces = built.slice(500)
+    n = pieces.num_rows
+    assert n > 10 and pieces.column("graph").null_count == 0 and built.slice(0, 500).column("graph").null_count == 500
+    none = {"whole": pa.nulls(n, single), "exact": pa.nulls(n, double)}
+    first = pa.table({**{c: pieces.column(c) for c in ("dim", "shard", "piece", "graph")}, "block": [0] * n, "node": pa.nulls(n, pa.int64()), **none})
+    rest = pa.table({**same, "block": [0] * 500, "piece": pa.nulls(500, pa.int32()), "graph": pa.nulls(500, pa.binary()), **lists(asked)})
+    batches = pa.concat_tables([first, rest.select(first.column_names)]).to_batches(70)
+    links = sum(sum(b.column("links").to_pylist()) for b in neighbours._ask(0.95)(iter(batches)))
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (asked.astype(float), x.astype(float)))
+    assert links == (a @ b.T >= 0.95).sum() > 400
