@@ -31,7 +31,9 @@ FAN = 8
 #: Documents and bytes of a block.
 ROWS, BYTES = 4096, 1 << 20
 #: Bytes that a worker remembers of units, about; a block's own come on top.
-REMEMBERED = 3 << 25
+REMEMBERED = 1 << 25
+#: Units tokenised at once: the objects of their tokens are far larger than the ids. Blocks read or written at once.
+TOKENISED, BLOCKS_HELD = 2048, 16
 
 _BLOCK = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -140,15 +142,20 @@ class Pair:
         tokens' bytes aren't the unit's, has none."""
         texts = [u.decode() for u in units]
         encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        lists = [[x.ids for x in encode(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)]
+        of_a = lambda part: [x.ids for x in encode(part, add_special_tokens=False)]
+        of_b = lambda part: self.b.encode([t[1:] for t in part], num_threads=1)
         sizes = np.array([len(u) for u in units], np.int64)
         data = np.frombuffer(b"".join(units), np.uint8)
         begin = np.cumsum(sizes) - sizes
         sound = np.ones(len(units), bool)
         flat, counts = [], []
-        for ids, table in zip(lists, (self.table_a, self.table_b)):
-            n = np.array([len(x) for x in ids], np.int64)
-            ids = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
+        for of, table in ((of_a, self.table_a), (of_b, self.table_b)):
+            n, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, len(texts), TOKENISED):
+                part = of(texts[at : at + TOKENISED])
+                n.append(np.array([len(x) for x in part], np.int64))
+                ids.append(np.fromiter((i for x in part for i in x), np.int64, int(n[-1].sum())))
+            n, ids = np.concatenate(n), np.concatenate(ids)
             held = np.diff(np.concatenate([[0], np.cumsum(table.size[ids])])[np.concatenate([[0], np.cumsum(n)])])
             same = held == sizes
             some = np.repeat(same, n)
@@ -408,11 +415,13 @@ def blocks_of(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK) ->
         for batch in batches:
             for part in _slices(batch):
                 yield _short(part, pair)
+            del batch
+        pa.default_memory_pool().release_unused()
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     short = docs.where(size < chunk).mapInArrow(run, _BLOCK)
-    return stage(short.union(_long_blocks(_fragments(docs.where(size >= chunk), paths, chunk))))
+    return stage(short.union(_long_blocks(_fragments(docs.where(size >= chunk), paths, chunk))), rows_held=BLOCKS_HELD)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK) -> DataFrame:

@@ -154,3 +154,22 @@ def test_fragments_are_a_monoid(case, cuts):
         i * B_IDS + j for i, s, e in zip(a, begins[0], a_ends) for j, t, f in zip(b, begins[1], b_ends) if max(s, t) < min(e, f)
     )
     assert whole.links == overlaps == Counter(linked((a, a_ends, b, b_ends)))
+
+
+def test_units_are_tokenised_a_few_at_once(monkeypatch):
+    pair = alignment.Pair(A, B)
+    units = [b" " + w.encode() for w in "some words, wörter und 字 of 17 units \x00 that stand apart".split()]
+    want = pair.tokens(units)
+    seen, tokenizer = [], pair.b
+
+    class Counted:
+        def encode(self, texts, **kind):
+            seen.append(len(texts))
+            return tokenizer.encode(texts, **kind)
+
+    monkeypatch.setattr(alignment, "TOKENISED", 3)
+    pair.b = Counted()
+    for x, y in zip(pair.tokens(units), want):
+        assert x.tolist() == y.tolist()
+    assert max(seen) == 3 and sum(seen) == len(units)
+    assert [x.tolist() for x in pair.tokens([])] == [[]] * 5
