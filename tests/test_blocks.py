@@ -87,3 +87,18 @@ def test_texts_without_blanks_are_not_gone_through_in_python():
     found = blocks.Words(blocks.pa.array([text, "x"]), asked)
     assert time.process_time() - start < 4
     assert found.bitmaps() == [1] * len(asked) and np.diff(found.begin).tolist() == [1] * len(asked)
+
+
+def test_blocks_and_chunks_meet_without_copies(spark, monkeypatch):
+    """Numbers leave once a term, and neither terms nor texts are shuffled once for each block or chunk."""
+    monkeypatch.setattr(blocks, "COUNT_TERMS", 3)
+    texts, df = _crowd(spark)
+    asked = ["a", "an", "on", "one", "on one", "one stone a", "ton a", "zz"]
+    terms = spark.createDataFrame([(f"en:{t}",) for t in asked], "term string")
+    store = df.select(F.lit(0).alias("row_part"), "row_idx", F.regexp_replace("text_en", "[^a-z]+", " ").alias("text"))
+    found = blocks.find(store, terms, lists=False, rows_per_block=50)
+    want = {f"en:{t}": sum(all(p in x for p in t.split()) for x in texts.values()) for t in asked}
+    counted = [(r.term, r.n) for r in found.collect()]
+    assert sorted(counted) == sorted((t, n) for t, n in want.items() if n)
+    plan = blocks.find(store, terms, rows_per_block=50)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
